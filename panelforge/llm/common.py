@@ -5,6 +5,8 @@ from __future__ import annotations
 import tempfile
 import uuid
 
+import numpy as np
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -75,4 +77,14 @@ def crc_fold(doc_id: str, folds: int):
     return F.crc32(F.col(doc_id).cast("string").cast("binary")) % folds
 
 
+def slices(batch, column: int = 1, most: int = 4_000_000):
+    """A record batch in pieces with about ``most`` bytes in one column (a longer value stands alone)."""
+    sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)
+    upto, a = np.cumsum(sizes, dtype=np.int64), 0
+    while a < batch.num_rows:
+        b = max(a + 1, int(np.searchsorted(upto, (upto[a - 1] if a else 0) + most, "right")))
+        yield batch.slice(a, b - a)
+        a = b
+
+
 LONG, STRING, DOUBLE, BINARY = T.LongType(), T.StringType(), T.DoubleType(), T.BinaryType()

@@ -65,20 +65,17 @@ def hilbert_key(cells: np.ndarray, bits: int = BITS) -> np.ndarray:
 
 
 def document_vectors(docs: DataFrame, tokenizer_path: str, end_id: int) -> DataFrame:
-    """Ids (with the end id) of each whole text and its projected hashed count vector, divided by the vector's length."""
+    """Ids (with the end id) of each whole text and its projected hashed count vector, divided by the number of ids."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        e, matrix = encoder(tokenizer_path), projection()
-        for batch in batches:
+        e = encoder(tokenizer_path)
+        matrix = projection()[bucket_of(np.arange(max(e.vocab, end_id + 1)))]
+        for batch in (x for b in batches for x in common.slices(b)):
             flat, bounds = e.encode(batch.column(1))
             n = len(bounds) - 1
             flat, bounds = np.insert(flat, bounds[1:], end_id), bounds + np.arange(n + 1)
-            points = np.zeros((n, DIMS))
-            for k in range(n):
-                count = np.bincount(bucket_of(flat[bounds[k] : bounds[k + 1]]))
-                seen = np.flatnonzero(count)
-                points[k] = count[seen] @ matrix[seen] / np.sqrt(np.square(count[seen], dtype=np.float64).sum())
-            yield pa.RecordBatch.from_arrays([batch.column(0), binary_array(flat, bounds), *(pa.array(points[:, k]) for k in range(DIMS)), batch.column(2)], VECTORS.names)
+            points = np.add.reduceat(matrix[flat], bounds[:-1], axis=0) / np.diff(bounds)[:, None]
+            yield pa.RecordBatch.from_arrays([batch.column(0), binary_array(flat, bounds), *(pa.array(points[:, k].astype(float)) for k in range(DIMS)), batch.column(2)], VECTORS.names)
 
     return common.id_and_text(docs).withColumn("tie", F.monotonically_increasing_id()).mapInArrow(run, VECTORS)
 

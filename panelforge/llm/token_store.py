@@ -69,7 +69,7 @@ def encode_documents(docs: DataFrame, tokenizer_path: str, end_id: int) -> DataF
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         e = encoder(tokenizer_path)
-        for batch in batches:
+        for batch in (x for b in batches for x in common.slices(b)):
             flat, bounds = e.encode(batch.column(1))
             n = len(bounds) - 1
             flat = np.insert(flat, bounds[1:], end_id)

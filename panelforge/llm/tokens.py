@@ -10,21 +10,22 @@ from __future__ import annotations
 
 import os
 import zlib
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-#: Chunks remembered by a worker; beyond it the cache starts anew, so memory stays bounded.
-CACHE_CHUNKS = 1_000_000
+#: Chunks remembered by a worker, at most.
+CACHE_CHUNKS = 600_000
 #: Bytes of text whose chunks are held at once (one longer text is held alone).
-GROUP_BYTES = 4_000_000
+GROUP_BYTES = 3_000_000
 
 #: White space beyond ASCII, and controls that only some functions take as white space.
 _ODD = r"\x{1c}-\x{1f}\x{85}\x{a0}\x{1680}\x{180e}\x{2000}-\x{200b}\x{2028}\x{2029}\x{202f}\x{205f}\x{2060}\x{3000}\x{feff}"
-_UNSAFE_WORD = f"[{_ODD}]"
+_UNSAFE_WORD = rf"[\x{{0}}{_ODD}]"
 #: The byte tokenizer keeps white space; a blank beside other white space is matched together with it.
-_UNSAFE_BYTE = rf" [ \t-\r{_ODD}]|[\t-\r{_ODD}] "
+_UNSAFE_BYTE = rf"\x{{0}}| [ \t-\r{_ODD}]|[\t-\r{_ODD}] "
 
 
 class ChunkEncoder:
@@ -46,37 +47,42 @@ class ChunkEncoder:
 
     def _restart(self) -> None:
         self.cache: dict[str, int] = {}
-        self.start, self.size = np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int64)
+        self.start, self.size, self.again = np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int64), np.zeros(1 << 16, bool)
         self.flat, self.used = np.zeros(1 << 18, self.dtype), 0
 
     def _ids(self, texts: list[str]) -> list[list[int]]:
         return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _learn(self, chunks: list[str]) -> None:
-        bad = ("\n", "\t", "\r", "\x0b", "\x0c") if self.keeps_blanks else ("7",)
-        alone = [x for x in chunks if not x or any(b in x for b in bad)]
-        if alone:
-            kept = set(alone)
-            chunks = [x for x in chunks if x not in kept]
-        parts = [np.array(x, self.dtype) for x in self._ids(alone)]
+    def _learn(self, keys: list[str]) -> None:
+        """Keys are chunks; for a tokenizer that keeps blanks, a chunk after its blank, or a text's first after NUL."""
+        if self.keeps_blanks:
+            alone = [x for x in keys if not x.isprintable() or not x]
+            together = [x for x in keys if x.isprintable() and x]
+            real = [x[1:] if x[:1] == "\0" else " " + x for x in alone]
+            between, ahead = self.between + " ", " "
+        else:
+            alone = real = [x for x in keys if "7" in x or not x]
+            together = [x for x in keys if "7" not in x and x]
+            between, ahead = self.between, ""
+        parts = [np.array(x, self.dtype) for x in self._ids(real)]
         sizes = [len(x) for x in parts]
-        for k in range(0, len(chunks), 200):
-            group = chunks[k : k + 200]
-            ids = np.array(self._ids([self.between.join(group)])[0], self.dtype)
+        for k in range(0, len(together), 200):
+            group = together[k : k + 200]
+            ids = np.array(self._ids([ahead + between.join(group)])[0], self.dtype)
             cuts = np.flatnonzero(ids == self.mark)
             if len(cuts) != len(group) - 1:
-                each = self._ids(group)
+                each = self._ids([ahead + x for x in group])
                 parts += [np.array(x, self.dtype) for x in each]
                 sizes += [len(x) for x in each]
             else:
                 parts.append(ids[ids != self.mark])
                 sizes += np.diff(np.concatenate([[-1], cuts, [len(ids)]]) - np.arange(len(group) + 1)).tolist()
-        self._store(alone + chunks, np.concatenate(parts) if parts else np.zeros(0, self.dtype), np.array(sizes, np.int64))
+        self._store(alone + together, np.concatenate(parts) if parts else np.zeros(0, self.dtype), np.array(sizes, np.int64))
 
     def _store(self, chunks: list[str], ids: np.ndarray, sizes: np.ndarray) -> None:
         n, m = len(self.cache), len(self.cache) + len(chunks)
         while m > len(self.start):
-            self.start, self.size = (np.concatenate([x, np.zeros_like(x)]) for x in (self.start, self.size))
+            self.start, self.size, self.again = (np.concatenate([x, np.zeros_like(x)]) for x in (self.start, self.size, self.again))
         while self.used + len(ids) > len(self.flat):
             self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
         self.cache.update(zip(chunks, range(n, m), strict=True))
@@ -85,17 +91,28 @@ class ChunkEncoder:
         self.flat[self.used : self.used + len(ids)] = ids
         self.used += len(ids)
 
-    def _find(self, chunks: list[str]) -> np.ndarray:
-        get = self.cache.get
-        at = list(map(get, chunks))
-        new = list(dict.fromkeys(c for c, i in zip(chunks, at, strict=True) if i is None))
-        if new:
-            if len(self.cache) + len(new) > CACHE_CHUNKS:
-                self._restart()
-                new = list(dict.fromkeys(chunks))
+    def _find(self, keys: list[str]) -> np.ndarray:
+        at = np.array(list(map(self.cache.get, keys, repeat(-1))), np.int64)
+        missing = np.flatnonzero(at < 0)
+        if len(missing):
+            new = list(dict.fromkeys([keys[i] for i in missing]))
+            if len(self.cache) + len(new) > CACHE_CHUNKS and self.cache:
+                self._shrink()
+                return self._find(keys)
             self._learn(new)
-            at = list(map(self.cache.__getitem__, chunks))
-        return np.array(at, np.int64)
+            self.again[at[at >= 0]] = True
+            at[missing] = [self.cache[keys[i]] for i in missing]
+        return at
+
+    def _shrink(self) -> None:
+        """Keep the chunks that were met again since the last time, or none if these are half of the bound or more."""
+        names, n = list(self.cache), len(self.cache)
+        kept = np.flatnonzero(self.again[:n])
+        start, size, flat = self.start[kept], self.size[kept], self.flat
+        self._restart()
+        if 2 * len(kept) < CACHE_CHUNKS:
+            ends = np.cumsum(size)
+            self._store([names[i] for i in kept], flat[np.repeat(start - ends + size, size) + np.arange(size.sum())], size)
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts (nulls as empty) one after the other, and where each text's ids begin and end."""
@@ -122,10 +139,9 @@ class ChunkEncoder:
         coded = split.flatten().dictionary_encode()
         names, codes = coded.dictionary.to_pylist(), coded.indices.to_numpy()
         if self.keeps_blanks:
-            first = [names[i] for i in codes[bounds[:-1]]]
-            at = self._find([" " + x for x in names] + first + [""])
+            at = self._find(names + ["\0" + names[i] for i in codes[bounds[:-1]]])
             where = at[codes]
-            where[bounds[:-1]] = at[len(names) : -1]
+            where[bounds[:-1]] = at[len(names) :]
         else:
             where = self._find(names)[codes]
         size = self.size[where]
