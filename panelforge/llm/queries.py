@@ -3,12 +3,27 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import packing, token_store
-from .common import read_table
+from . import langid, license_scan, packing, quality_model, quality_rules, token_store
+from .common import crc_fold, read_table
 from .tokens import encoder, public_path
 
 
+def op6_language_bayes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents")
+    held_out = crc_fold("doc_id", 4) == 2
+    model = langid.train(docs.where(~held_out))
+    return langid.identify(docs, model).select("doc_id", F.coalesce(held_out, F.lit(False)).alias("held_out"), "lang_pred", "score")
+
+
+def op7_quality_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents")
+    held_out = crc_fold("doc_id", 3) == 1
+    weights = quality_model.train(docs, read_table(spark, sf_dir, "labels").where(~held_out))
+    return quality_model.classify(docs, weights).select("doc_id", F.coalesce(held_out, F.lit(False)).alias("held_out"), "score", "predicted")
+
+
 def op8_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_store.token_id_store(read_table(spark, sf_dir, "documents"), public_path("word_bpe_49k.json"), end_id=2)
 
@@ -19,5 +34,20 @@ def op9_hilbert_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.digest(pieces, encoder(path).dtype)
 
 
-QUERIES = {"op8_token_store": op8_token_store, "op9_hilbert_packing": op9_hilbert_packing}
-ORACLES: dict[str, str] = {}
+def op5_rule_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_rules.quality_cascade(read_table(spark, sf_dir, "documents"))
+
+
+def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.scan_licenses(read_table(spark, sf_dir, "documents"))
+
+
+QUERIES = {
+    "op5_rule_cascade": op5_rule_cascade,
+    "op6_language_bayes": op6_language_bayes,
+    "op7_quality_model": op7_quality_model,
+    "op8_token_store": op8_token_store,
+    "op9_hilbert_packing": op9_hilbert_packing,
+    "op10_license_scan": op10_license_scan,
+}
+ORACLES: dict[str, str] = {"op5_rule_cascade": quality_rules.ORACLE_SQL}
