@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import langid, license_scan, packing, quality_model, quality_rules, token_store
+from . import chosen_path, langid, license_scan, packing, quality_model, quality_rules, token_store
 from .common import crc_fold, read_table
 from .tokens import encoder, public_path
 
@@ -34,6 +34,10 @@ def op9_hilbert_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.digest(pieces, encoder(path).dtype)
 
 
+def op4_chosen_path(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chosen_path.near_duplicates(read_table(spark, sf_dir, "documents"))
+
+
 def op5_rule_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.quality_cascade(read_table(spark, sf_dir, "documents"))
 
@@ -43,6 +47,7 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op4_chosen_path": op4_chosen_path,
     "op5_rule_cascade": op5_rule_cascade,
     "op6_language_bayes": op6_language_bayes,
     "op7_quality_model": op7_quality_model,
@@ -50,4 +55,4 @@ QUERIES = {
     "op9_hilbert_packing": op9_hilbert_packing,
     "op10_license_scan": op10_license_scan,
 }
-ORACLES: dict[str, str] = {"op5_rule_cascade": quality_rules.ORACLE_SQL}
+ORACLES: dict[str, str] = {"op4_chosen_path": chosen_path.ORACLE_SQL, "op5_rule_cascade": quality_rules.ORACLE_SQL}
