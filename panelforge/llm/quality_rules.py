@@ -92,7 +92,8 @@ def order_rules(docs: DataFrame, rules: Sequence[Rule] = RULES, sample_rows: int
 
     On an empty sample the rules keep their given order.
     """
-    sample = common.written(text_counts(docs.limit(sample_rows)), "rule-sample")
+    rows = common.id_and_text(docs).take(sample_rows)
+    sample = common.written(text_counts(docs.sparkSession.createDataFrame(rows, "doc_id long, text string")), "rule-sample")
     seen = sample.count()
     measured = []
     for rule in rules:
