@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chosen_path, fuzzy_lines, langid, license_scan, packing, quality_model, quality_rules, token_store
+from . import chosen_path, decontaminate, fuzzy_lines, langid, license_scan, packing, quality_model, quality_rules, token_store
 from .common import crc_fold, read_table
 from .tokens import encoder, public_path
 
@@ -34,6 +34,10 @@ def op9_hilbert_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.digest(pieces, encoder(path).dtype)
 
 
+def op1_qgram_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.find_leaks(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
+
+
 def op3_fuzzy_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = fuzzy_lines.dedup_lines(read_table(spark, sf_dir, "documents"))
     return out.select("doc_id", "n_lines", "n_dropped", F.md5(F.col("text").cast("binary")).alias("text_md5"))
@@ -52,6 +56,7 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_qgram_decontamination": op1_qgram_decontamination,
     "op3_fuzzy_lines": op3_fuzzy_lines,
     "op4_chosen_path": op4_chosen_path,
     "op5_rule_cascade": op5_rule_cascade,
