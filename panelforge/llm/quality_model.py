@@ -128,7 +128,7 @@ def train(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS) -> n
                 leader.learn(np.frombuffer(at, np.int32), np.frombuffer(value, np.float32).astype(np.float64), label)
         yield pa.RecordBatch.from_arrays([pa.array([leader.weights().astype(np.float32).tobytes()], pa.binary())], ["weights"])
 
-    (row,) = _rows(texts).coalesce(1).mapInArrow(fit, "weights binary").collect() or (None,)
+    (row,) = _rows(texts).repartition(1).mapInArrow(fit, "weights binary").collect() or (None,)
     return np.frombuffer(row["weights"], np.float32).copy() if row else np.zeros((1 << BITS) + 1, np.float32)
 
 
