@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chosen_path, decontaminate, fuzzy_lines, langid, license_scan, packing, quality_model, quality_rules, token_store
+from . import chosen_path, decontaminate, fuzzy_lines, langid, license_scan, packing, quality_model, quality_rules, token_store, warc_fixity
 from .common import crc_fold, read_table
 from .tokens import encoder, public_path
 
@@ -38,6 +38,10 @@ def op1_qgram_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.find_leaks(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
 
 
+def op2_merkle_fixity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc_fixity.audited_pages(read_table(spark, sf_dir, "pages"))
+
+
 def op3_fuzzy_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = fuzzy_lines.dedup_lines(read_table(spark, sf_dir, "documents"))
     return out.select("doc_id", "n_lines", "n_dropped", F.md5(F.col("text").cast("binary")).alias("text_md5"))
@@ -57,6 +61,7 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_qgram_decontamination": op1_qgram_decontamination,
+    "op2_merkle_fixity": op2_merkle_fixity,
     "op3_fuzzy_lines": op3_fuzzy_lines,
     "op4_chosen_path": op4_chosen_path,
     "op5_rule_cascade": op5_rule_cascade,
@@ -66,4 +71,4 @@ QUERIES = {
     "op9_hilbert_packing": op9_hilbert_packing,
     "op10_license_scan": op10_license_scan,
 }
-ORACLES: dict[str, str] = {"op4_chosen_path": chosen_path.ORACLE_SQL, "op5_rule_cascade": quality_rules.ORACLE_SQL}
+ORACLES: dict[str, str] = {"op2_merkle_fixity": warc_fixity.ORACLE_SQL, "op4_chosen_path": chosen_path.ORACLE_SQL, "op5_rule_cascade": quality_rules.ORACLE_SQL}
