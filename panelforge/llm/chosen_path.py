@@ -26,8 +26,8 @@ from pyspark.sql import functions as F
 
 from . import common, graph
 
-#: Words in a shingle, and the similarity (percent) of a link.
-WORDS, PERCENT = 4, 80
+#: The similarity (percent) of a link.
+PERCENT = 80
 BINS = 128
 TREES, FIRST_TREES = 16, 4
 #: Below the similarity of a link, so that a linked pair's shared paths multiply.
@@ -51,7 +51,7 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(33))
 
 
-def shingle_sets(texts: pa.Array, words: int = WORDS) -> Iterator[np.ndarray]:
+def shingle_sets(texts: pa.Array, words: int) -> Iterator[np.ndarray]:
     """The sorted 64-bit hashes of each text's distinct shingles.
 
     Words are runs without ASCII white space, A-Z lower-cased; a text with fewer words than a shingle has one, the whole
@@ -98,13 +98,13 @@ def sketch(shingles: np.ndarray) -> tuple[bytes, bytes]:
     return (mix(value) >> np.uint64(32)).astype("<u4").tobytes(), bits.tobytes()
 
 
-def _features(docs: DataFrame) -> DataFrame:
+def _features(docs: DataFrame, words: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import xxhash
 
         for batch in (x for b in batches for x in common.slices(b)):
             n, key, tokens, bits = [], [], [], []
-            for s in shingle_sets(batch.column(1)):
+            for s in shingle_sets(batch.column(1), words):
                 n.append(len(s))
                 key.append(xxhash.xxh3_64_intdigest(s.tobytes()) - (1 << 63))
                 t, b = sketch(s)
@@ -154,7 +154,7 @@ def _alike(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
     return both.select("a", "b", "x", "y").mapInArrow(run, "a long, b long, alike long")
 
 
-def _confirmed(pairs: DataFrame, nodes: DataFrame, docs: DataFrame) -> DataFrame:
+def _confirmed(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, words: int) -> DataFrame:
     """The pairs (a, b) that are linked on their full shingle sets, computed from the texts of the documents in question."""
     keys = common.written(pairs.select(F.col("a").alias("key")).unionByName(pairs.select(F.col("b").alias("key"))).distinct().join(nodes.select("key", "doc_id"), "key"), "wanted")
     wanted = keys.select("doc_id").distinct()
@@ -165,7 +165,7 @@ def _confirmed(pairs: DataFrame, nodes: DataFrame, docs: DataFrame) -> DataFrame
         import xxhash
 
         for batch in (x for b in batches for x in common.slices(b)):
-            found = [s.tobytes() for s in shingle_sets(batch.column(1))]
+            found = [s.tobytes() for s in shingle_sets(batch.column(1), words)]
             yield pa.RecordBatch.from_arrays([pa.array([xxhash.xxh3_64_intdigest(s) - (1 << 63) for s in found], pa.int64()), pa.array(found, pa.binary())], ["key", "shingles"])
 
     full = texts.mapInArrow(sets, "key long, shingles binary").join(keys.select("key"), "key", "left_semi").dropDuplicates(["key"])
@@ -215,21 +215,21 @@ def _roots(links: list[DataFrame]) -> DataFrame:
     return graph.components(out)
 
 
-def near_duplicates(docs: DataFrame) -> DataFrame:
-    """``doc_id, n_shingles, component_id, kept`` for each row of ``docs``.
+def near_duplicates(docs: DataFrame, words: int = 5) -> DataFrame:
+    """``doc_id, n_shingles, component_id, kept`` for each row of ``docs``, over shingles of ``words`` words.
 
     ``component_id`` is the smallest doc_id reachable over links, ``kept`` marks the row that bears it. A null or empty
     text has no shingles, links with nothing and is kept; so is a row without doc_id, whose component_id is null. Equal
     texts are one component; of repeated rows with the same doc_id all are marked kept if it is the smallest. An empty
     table gives no rows; only ``doc_id`` and ``text`` are read.
     """
-    base = common.written(_features(docs), "features")
+    base = common.written(_features(docs, words), "features")
     named = base.where("n > 0 AND doc_id IS NOT NULL")
     nodes = common.written(named.groupBy("key").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.first("tokens").alias("tokens"), F.first("bits").alias("bits")), "nodes")
 
     level = common.written(_branch(nodes, range(FIRST_TREES)), "level")
     found = common.written(_alike(_stars(_labelled(level, None)).distinct(), nodes), "pairs")
-    links = [_confirmed(_best(found), nodes, docs)]
+    links = [_confirmed(_best(found), nodes, docs, words)]
     roots = _roots(links)
     common.dropped(level)
     pending = [found]
@@ -255,13 +255,13 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
         pending.append(common.written(_alike(pairs.distinct(), nodes), "pairs"))
         common.dropped(level)
         if more and depth > 2:
-            links, roots, pending = _settle(links, roots, pending, nodes, docs)
+            links, roots, pending = _settle(links, roots, pending, nodes, docs, words)
         if not more:
             break
         level = common.written(_branch(large.join(nodes.select("key", "tokens"), "key")), "level")
         common.dropped(rows)
         depth += 1
-    links, roots, _ = _settle(links, roots, pending, nodes, docs, every=True)
+    links, roots, _ = _settle(links, roots, pending, nodes, docs, words, every=True)
 
     named = _labelled(nodes.select("key", "doc_id"), roots)
     smallest = named.groupBy("part").agg(F.min("doc_id").alias("component_id"))
@@ -272,7 +272,14 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(component == F.col("doc_id"), F.lit(True)).alias("kept"))
 
 
-def _settle(links: list[DataFrame], roots: DataFrame, pending: list[DataFrame], nodes: DataFrame, docs: DataFrame, every: bool = False) -> tuple:
+def drop_near_duplicates(docs: DataFrame, words: int = 5) -> DataFrame:
+    """The rows of ``docs`` without those that aren't their group's kept document."""
+    out = common.written(near_duplicates(docs, words).where(~F.col("kept")).select(F.col("doc_id").alias("__dropped")).distinct(), "dropped")
+    out = F.broadcast(out) if out.count() <= BROADCAST_IDS else out
+    return docs.join(out, F.col("doc_id") == F.col("__dropped"), "left_anti")
+
+
+def _settle(links: list[DataFrame], roots: DataFrame, pending: list[DataFrame], nodes: DataFrame, docs: DataFrame, words: int, every: bool = False) -> tuple:
     """Confirm candidates across components: the likeliest of each document first, then, if ``every``, all that remain."""
     pairs = pending[0]
     for x in pending[1:]:
@@ -282,7 +289,7 @@ def _settle(links: list[DataFrame], roots: DataFrame, pending: list[DataFrame],
         cross = common.written(named.where("pa <> part").select("a", F.col("key").alias("b"), "alike").distinct(), "cross")
         if not cross.limit(1).count():
             break
-        links = [*links, _confirmed(_best(cross) if best else cross, nodes, docs)]
+        links = [*links, _confirmed(_best(cross) if best else cross, nodes, docs, words)]
         roots = _roots(links)
         pairs = cross
     return links, roots, [pairs]

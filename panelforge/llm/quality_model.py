@@ -152,3 +152,15 @@ def classify(docs: DataFrame, weights: np.ndarray) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(score), pa.array((score >= 0.5).astype(np.int32))], ["doc_id", "score", "predicted"])
 
     return common.id_and_text(docs).mapInArrow(run, "doc_id long, score double, predicted int")
+
+
+def keep_accepted(docs: DataFrame, weights: np.ndarray) -> DataFrame:
+    """The rows of ``docs``, all columns, that the model predicts as 1; scored where they are read, without a join."""
+    shared = docs.sparkSession.sparkContext.broadcast(weights)
+    at = docs.columns.index("text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in (x for b in batches for x in common.slices(b, at)):
+            yield batch.filter(pa.array(score_texts(batch.column(at), shared.value) >= 0.5))
+
+    return docs.mapInArrow(run, docs.schema)

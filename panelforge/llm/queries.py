@@ -48,7 +48,7 @@ def op3_fuzzy_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_chosen_path(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return chosen_path.near_duplicates(read_table(spark, sf_dir, "documents"))
+    return chosen_path.near_duplicates(read_table(spark, sf_dir, "documents"), words=4)
 
 
 def op5_rule_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
