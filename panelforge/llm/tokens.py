@@ -16,6 +16,8 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
+from . import common
+
 #: Chunks remembered by a worker, at most.
 CACHE_CHUNKS = 600_000
 #: Bytes of text whose chunks are held at once (one longer text is held alone).
@@ -133,7 +135,7 @@ class ChunkEncoder:
         if unsafe.any():
             whole = [np.array(x, self.dtype) for x in self._ids(texts.filter(pa.array(unsafe)).to_pylist())]
             texts = pc.if_else(pa.array(unsafe), "", texts)
-        split = pc.split_pattern(texts, " ") if self.keeps_blanks else pc.ascii_split_whitespace(texts)
+        split = pc.split_pattern(texts, " ") if self.keeps_blanks else common.split_words(texts)
         bounds = split.offsets.to_numpy().astype(np.int64)
         bounds -= bounds[0]
         coded = split.flatten().dictionary_encode()
