@@ -1,3 +1,3 @@
 """Registered queries: importing this package fills ``registry``."""
 
-from . import q_panel  # noqa: F401
+from . import q_panel, q_rolling  # noqa: F401
