@@ -63,7 +63,7 @@ def shingle_sets(texts: pa.Array, words: int) -> Iterator[np.ndarray]:
     upto, a = np.cumsum(pc.binary_length(texts).to_numpy(zero_copy_only=False).astype(np.int64)), 0
     while a < len(texts):
         b = max(a + 1, int(np.searchsorted(upto, (upto[a - 1] if a else 0) + GROUP_BYTES, "right")))
-        split = common.split_words(pc.ascii_lower(texts.slice(a, b - a)))
+        split = common.split_words(texts.slice(a, b - a), lower=True)
         bounds = split.offsets.to_numpy().astype(np.int64)
         coded = split.flatten().dictionary_encode()
         names, codes = coded.dictionary.to_pylist(), coded.indices.to_numpy()

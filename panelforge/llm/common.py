@@ -88,18 +88,21 @@ def slices(batch, column: int = 1, most: int = 4_000_000):
         a = b
 
 
-def split_words(texts: pa.Array) -> pa.Array:
+def split_words(texts: pa.Array, lower: bool = False) -> pa.Array:
     """Lists of what lies between ASCII white space (0x09-0x0D, 0x20); parts between adjacent ones are empty strings.
 
-    Arrow's own ascii_split_whitespace also cuts at bytes 0x85 and 0xA0, inside of UTF-8 characters.
+    Nulls must be filled. ``lower`` turns A-Z to a-z. Arrow's own functions aren't used: ascii_split_whitespace also cuts at
+    bytes 0x85 and 0xA0, inside of UTF-8 characters, and ascii_lower of a slice has offsets beyond its data.
     """
-    texts = pa.concat_arrays([texts.cast(pa.large_string())])
-    valid, offsets, data = texts.buffers()
-    if data is not None:
-        raw = np.frombuffer(data, np.uint8).copy()
-        raw[(raw - np.uint8(9)) < 5] = 32
-        texts = pa.Array.from_buffers(pa.large_string(), len(texts), [valid, offsets, pa.py_buffer(raw)], offset=texts.offset)
-    return pc.split_pattern(texts, " ")
+    texts = texts.cast(pa.large_string())
+    _, offsets, data = texts.buffers()
+    at = np.frombuffer(offsets, np.int64)[texts.offset : texts.offset + len(texts) + 1] if len(texts) else np.zeros(1, np.int64)
+    raw = np.frombuffer(data, np.uint8)[at[0] : at[-1]].copy() if data is not None else np.zeros(0, np.uint8)
+    raw[(raw - np.uint8(9)) < 5] = 32
+    if lower:
+        raw[(raw - np.uint8(65)) < 26] += 32
+    plain = pa.Array.from_buffers(pa.large_string(), len(texts), [None, pa.py_buffer((at - at[0]).tobytes()), pa.py_buffer(raw)])
+    return pc.split_pattern(plain, " ")
 
 
 LONG, STRING, DOUBLE, BINARY = T.LongType(), T.StringType(), T.DoubleType(), T.BinaryType()
