@@ -73,16 +73,18 @@ def training_windows(returns: DataFrame, market: DataFrame, dates: DataFrame, tr
 
 
 def enough_names(train: DataFrame, least: int) -> DataFrame:
-    """Windows with at least ``least`` tickers; the other rebalances are skipped."""
+    """Windows with at least ``least`` tickers; the other rebalances are skipped. Metrics, correlations and allocators all
+    read the windows, so they are kept."""
+    train = train.persist()
     good = train.groupBy("as_of").agg(F.countDistinct("ticker").alias("c")).where(F.col("c") >= least)
     return train.join(good.select("as_of"), "as_of", "left_semi")
 
 
 def choose(train: DataFrame, sectors: DataFrame, config: BacktestConfig) -> DataFrame:
     """``as_of, ticker, score, mean_return`` of the names to hold: shared by all allocators."""
-    scores = select.rank_stocks(train, config.profile.weights, min_obs=config.min_obs)
+    scores = select.rank_stocks(train, config.profile.weights, min_obs=config.min_obs).persist()
     chosen = select.select_candidates(scores, train, sectors, config.n_select, config.corr_threshold, config.per_sector, config.profile.min_positions)
-    return chosen.join(scores.select("as_of", "ticker", "mean_return"), ["as_of", "ticker"])
+    return chosen.join(scores.select("as_of", "ticker", "mean_return"), ["as_of", "ticker"]).persist()
 
 
 def holding_values(weights: DataFrame, returns: DataFrame, dates: DataFrame) -> DataFrame:
