@@ -7,8 +7,8 @@ more than one child on average, others seldom. Only tree nodes that hold documen
 
 1. First pass: in a few trees each node's smallest document is compared with the node's others (as many pairs as rows), so
    groups of copies, whatever their size, join up.
-2. Second pass, all trees: open nodes of up to ``NODE`` documents compare all pairs across components; larger open nodes
-   compare their smallest documents with the others and branch by one more token, until none is left.
+2. Second pass, all trees: in open nodes of up to ``NODE`` documents, sketches of all pairs across components are compared;
+   larger open nodes compare their smallest document with the others and branch by one more token, until none is left.
 
 Candidates pass a size test and an estimate from 8-bit sketches (``SLACK`` deviations below the threshold), and are
 confirmed on full shingle sets. Pairs are never made within a component, so rows stay in proportion to documents.
@@ -33,7 +33,7 @@ TREES, FIRST_TREES = 16, 4
 #: Below the similarity of a link, so that a linked pair's shared paths multiply.
 SPLIT = 0.6
 #: A tree node with more documents branches on.
-NODE = 24
+NODE = 1000
 SLACK = 4.5
 #: Branching beyond this depth ends with comparing every component's smallest document with all others.
 MAX_DEPTH = 24
@@ -154,6 +154,54 @@ def _alike(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
     return both.select("a", "b", "x", "y").mapInArrow(run, "a long, b long, alike long")
 
 
+def _compared(rows: DataFrame, nodes: DataFrame) -> DataFrame:
+    """``a, b, alike``: within each tree node, the pairs across components that sketches don't rule out.
+
+    A node's rows, ``NODE`` at most, stand together in one partition. The documents outside the node's largest component
+    are compared with all others, a block at a time, and only pairs that pass are given out.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            path = batch.column(0).to_numpy()
+            cuts = np.flatnonzero(np.diff(path)) + 1
+            if held and held[-1].column(0)[0].as_py() != path[0]:
+                yield from _node(held)
+                held = []
+            for lo, hi in zip([0, *cuts], [*cuts, len(path)], strict=True):
+                if lo and held:
+                    yield from _node(held)
+                    held = []
+                held.append(batch.slice(lo, hi - lo))
+        if held:
+            yield from _node(held)
+
+    bits = rows.join(nodes.select("key", "bits"), "key").select("path", "key", "n", "part", "bits")
+    together = bits.repartition(common.partitions(rows.sparkSession), "path").sortWithinPartitions("path")
+    return together.mapInArrow(run, "a long, b long, alike long")
+
+
+def _node(batches: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    key, n, part = (np.concatenate([b.column(k).to_numpy() for b in batches]) for k in (1, 2, 3))
+    bits = np.frombuffer(b"".join(x for b in batches for x in b.column(4).to_pylist()), np.uint8).reshape(-1, BINS)
+    names, size = np.unique(part, return_counts=True)
+    few = np.flatnonzero(part != names[size.argmax()])
+    share = PERCENT / 100
+    for k in range(0, len(few), 64):
+        i = few[k : k + 64]
+        x, y = bits[i, None, :], bits[None, :, :]
+        good = (part[i, None] != part) & (np.minimum(n[i, None], n) * 100 >= np.maximum(n[i, None], n) * PERCENT)
+        same = ((x == y) & (x > 0)).sum(2)
+        either = ((x > 0) | (y > 0)).sum(2)
+        good &= same >= either * share - SLACK * np.sqrt(either * share * (1 - share))
+        at, other = np.nonzero(good)
+        a, b = key[i][at], key[other]
+        yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b)), pa.array(same[at, other] * 1000 // np.maximum(either[at, other], 1), pa.int64())], ["a", "b", "alike"])
+
+
 def _confirmed(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, words: int) -> DataFrame:
     """The pairs (a, b) that are linked on their full shingle sets, computed from the texts of the documents in question."""
     keys = common.written(pairs.select(F.col("a").alias("key")).unionByName(pairs.select(F.col("b").alias("key"))).distinct().join(nodes.select("key", "doc_id"), "key"), "wanted")
@@ -241,18 +289,16 @@ def near_duplicates(docs: DataFrame, words: int = 5) -> DataFrame:
         open_ = rows.groupBy("path").agg(F.count("*").alias("members"), F.min("part").alias("lo"), F.max("part").alias("hi")).where("lo <> hi")
         rows = common.written(rows.join(open_.select("path", "members"), "path"), "open")
         small, large = rows.where(F.col("members") <= NODE), rows.where(F.col("members") > NODE)
-        x, y = (small.select("path", *(F.col(c).alias(f"{c}{s}") for c in ("key", "n", "part"))) for s in "xy")
-        pairs = x.join(y, "path").where((F.col("keyx") < F.col("keyy")) & (F.col("partx") != F.col("party")) & _sized("nx", "ny"))
-        pairs = pairs.select(F.col("keyx").alias("a"), F.col("keyy").alias("b"))
+        near = _compared(small, nodes)
         more = large.limit(1).count() > 0
-        if more and depth > 2:
-            pairs = pairs.unionByName(_stars(large.drop("members")))
+        pairs = _stars(large.drop("members")) if more and depth > 2 else None
         if more and depth >= MAX_DEPTH:
             heads = large.groupBy("path", "part").agg(F.min(F.struct("key", "n")).alias("head"))
             ends = large.join(heads.withColumnRenamed("part", "other"), "path").where((F.col("part") != F.col("other")) & _sized("n", "head.n"))
             pairs = pairs.unionByName(ends.select(F.least("key", "head.key").alias("a"), F.greatest("key", "head.key").alias("b")))
             more = False
-        pending.append(common.written(_alike(pairs.distinct(), nodes), "pairs"))
+        near = near.unionByName(_alike(pairs.distinct(), nodes)) if pairs is not None else near
+        pending.append(common.written(near.distinct(), "pairs"))
         common.dropped(level)
         if more and depth > 2:
             links, roots, pending = _settle(links, roots, pending, nodes, docs, words)
