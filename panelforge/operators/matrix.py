@@ -42,9 +42,10 @@ def sample_cov(returns: DataFrame, group: Sequence[str] = ()) -> DataFrame:
     return rows.groupBy(*group, "a", "b").agg(F.covar_samp("x", "y").alias("value"))
 
 
-def correlation(returns: DataFrame, group: Sequence[str] = ()) -> DataFrame:
-    """Pairwise-complete correlation; NULL where a side is constant."""
+def correlation(returns: DataFrame, group: Sequence[str] = (), once: bool = False) -> DataFrame:
+    """Pairwise-complete correlation; NULL where a side is constant. ``once``: only pairs with a before b."""
     rows = paired(returns.where("ret IS NOT NULL"), group)
+    rows = rows.where("a < b") if once else rows
     return rows.groupBy(*group, "a", "b").agg(safe(F.covar_samp("x", "y"), F.stddev_samp("x") * F.stddev_samp("y")).alias("value"))
 
 

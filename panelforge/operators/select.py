@@ -90,11 +90,12 @@ def correlation_filter(scores: DataFrame, train: DataFrame, threshold: float = 0
     """
     ranked = scores.where("score IS NOT NULL").withColumn("place", F.row_number().over(by_score()))
     rows = train.join(ranked.select("as_of", "ticker"), ["as_of", "ticker"], "left_semi")
-    corr = matrix.correlation(rows, ["as_of"])
+    corr = matrix.correlation(rows, ["as_of"], once=True)
     spot = ranked.select("as_of", F.col("ticker").alias("t"), "place")
-    near = corr.where((F.col("a") != F.col("b")) & (F.col("value").isNull() | (F.abs("value") >= threshold)))
+    near = corr.where(F.col("value").isNull() | (F.abs("value") >= threshold))
     near = near.join(spot.select("as_of", F.col("t").alias("a"), F.col("place").alias("pa")), ["as_of", "a"]).join(spot.select("as_of", F.col("t").alias("b"), F.col("place").alias("pb")), ["as_of", "b"])
-    blocked = near.where("pb < pa").groupBy("as_of", F.col("a").alias("ticker")).agg(F.collect_set("b").alias("blockers"))
+    later, earlier = F.when(F.col("pa") > F.col("pb"), F.col("a")).otherwise(F.col("b")), F.when(F.col("pa") > F.col("pb"), F.col("b")).otherwise(F.col("a"))
+    blocked = near.groupBy("as_of", later.alias("ticker")).agg(F.collect_set(earlier).alias("blockers"))
     given = ranked.select("as_of", "ticker", "place").join(blocked, ["as_of", "ticker"], "left")
 
     def walk(rows: pd.DataFrame) -> pd.DataFrame:
@@ -104,7 +105,7 @@ def correlation_filter(scores: DataFrame, train: DataFrame, threshold: float = 0
                 kept.add(r.ticker)
         return rows[rows["ticker"].isin(kept)][["as_of", "ticker"]]
 
-    kept = given.groupBy("as_of").applyInPandas(walk, given.select("as_of", "ticker").schema)
+    kept = given.groupBy("as_of").applyInPandas(walk, given.select("as_of", "ticker").schema).persist()
     return scores.join(kept, ["as_of", "ticker"], "left_semi")
 
 

@@ -156,7 +156,7 @@ def run_backtest(returns: DataFrame, market: DataFrame, sectors: DataFrame, conf
             extra["cov"] = matrix.cov_from_vols(sub, vols, group=["as_of"])
         else:
             extra["cov"] = matrix.ESTIMATORS[config.cov_estimator](sub, group=["as_of"])
-    weights = ALLOCATORS[config.allocator](chosen, sub, cons, **extra).where("weight > 0").select("as_of", "ticker", "weight")
+    weights = ALLOCATORS[config.allocator](chosen, sub, cons, **extra).where("weight > 0").select("as_of", "ticker", "weight").persist()
     values = holding_values(weights, returns, dates)
     costs = trading_costs(weights, drifted_weights(values), config.cost_bps)
     return BacktestResult(book_costs(period_returns(values), costs), weights, costs)
