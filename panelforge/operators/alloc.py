@@ -101,31 +101,33 @@ def score_based(chosen: DataFrame, train: DataFrame, cons: Constraints, temperat
 
 
 def projector(n: int, low: float, high: float, sectors: np.ndarray, limit: float) -> Callable[[np.ndarray], np.ndarray]:
-    """Nearest point with weights in [low, high] that sum to 1 and no sector above ``limit`` (Dykstra's alternation)."""
+    """Nearest point with weights in [low, high] that sum to 1 and no sector above ``limit``.
 
-    def simplex(v: np.ndarray) -> np.ndarray:
+    Sectors are disjoint, so the point is the clipped input less one shift for the sum and, in a sector that would exceed
+    its limit, a further one; both are found by bisection. Limits that can't add up to 1 are left out.
+    """
+    groups = [np.flatnonzero(s) for s in sectors] if len(sectors) and sum(min(limit, s.sum() * high) for s in sectors) >= 1 else []
+
+    def to_sum(v: np.ndarray, total: float) -> np.ndarray:
         a, b = v.min() - high, v.max() - low
-        for _ in range(60):
+        for _ in range(50):
             mid = (a + b) / 2
-            a, b = (mid, b) if np.clip(v - mid, low, high).sum() > 1 else (a, mid)
+            a, b = (mid, b) if np.clip(v - mid, low, high).sum() > total else (a, mid)
         return np.clip(v - (a + b) / 2, low, high)
 
-    rows = [s for s in sectors if s.sum() * high > limit]
-    if not rows or len(sectors) * limit < 1:
-        return simplex
+    def shifted(v: np.ndarray, by: float) -> np.ndarray:
+        x = np.clip(v - by, low, high)
+        for g in groups:
+            if x[g].sum() > limit:
+                x[g] = to_sum(v[g], max(limit, low * len(g)))
+        return x
 
     def project(v: np.ndarray) -> np.ndarray:
-        sets = [simplex, *(lambda x, s=s: x - s * max(s @ x - limit, 0.0) / s.sum() for s in rows)]
-        x, shift = v, [np.zeros(n) for _ in sets]
-        for _ in range(200):
-            before = x
-            for k, onto in enumerate(sets):
-                y = onto(x + shift[k])
-                shift[k] = x + shift[k] - y
-                x = y
-            if np.abs(x - before).max() < 1e-11:
-                break
-        return simplex(x)
+        a, b = v.min() - high, v.max() - low
+        for _ in range(50):
+            mid = (a + b) / 2
+            a, b = (mid, b) if shifted(v, mid).sum() > 1 else (a, mid)
+        return shifted(v, (a + b) / 2)
 
     return project
 
@@ -147,7 +149,7 @@ def descend(value: Callable, slope: Callable, project: Callable, start: np.ndarr
         size = float(np.clip(s @ s / (s @ y), 1e-8, 1e8)) if s @ y > 0 else 1e4
         x, g = new, fresh
         recent.append(value(x))
-    return x, np.abs(project(x - g) - x).max() < 1e-5
+    return x, np.abs(project(x - g) - x).max() < 1e-4
 
 
 def min_variance_weights(cov: np.ndarray, project: Callable) -> tuple[np.ndarray, bool]:
