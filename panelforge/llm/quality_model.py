@@ -27,7 +27,7 @@ EPOCHS, ALPHA, BETA, L1, L2 = 2, 0.5, 1.0, 0.001, 0.01
 #: Values are shares times this.
 SCALE = 20.0
 #: Words scored at once, about.
-GROUP_BYTES = 8_000_000
+GROUP_BYTES = 1_500_000
 
 _RUNS = re.compile(r"([^\W\d_]+)|(\d+)|(.)\3*", re.S)
 
