@@ -15,6 +15,7 @@ from ..constants import RISK_FREE_ANNUAL, TRADING_DAYS, daily_rate
 from . import matrix
 from .panel import with_sector
 from .perf import safe
+from .stage import staged
 
 YEAR = math.sqrt(TRADING_DAYS)
 METRICS = ("mean_return", "volatility", "sharpe", "sortino", "beta", "treynor", "max_dd", "var_95", "var_99", "momentum")
@@ -105,7 +106,8 @@ def correlation_filter(scores: DataFrame, train: DataFrame, threshold: float = 0
                 kept.add(r.ticker)
         return rows[rows["ticker"].isin(kept)][["as_of", "ticker"]]
 
-    kept = given.groupBy("as_of").applyInPandas(walk, given.select("as_of", "ticker").schema).persist()
+    kept = given.groupBy("as_of").applyInPandas(walk, given.select("as_of", "ticker").schema)
+    kept = staged(kept, "kept")
     return scores.join(kept, ["as_of", "ticker"], "left_semi")
 
 

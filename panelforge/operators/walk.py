@@ -11,6 +11,7 @@ from ..constants import COST_BPS, HOLD_MONTHS, PROFILES, TRADING_DAYS, TRAIN_MON
 from . import matrix, select
 from .alloc import ALLOCATORS, Constraints
 from .panel import covered
+from .stage import staged
 
 
 @dataclass(frozen=True)
@@ -75,16 +76,16 @@ def training_windows(returns: DataFrame, market: DataFrame, dates: DataFrame, tr
 def enough_names(train: DataFrame, least: int) -> DataFrame:
     """Windows with at least ``least`` tickers; the other rebalances are skipped. Metrics, correlations and allocators all
     read the windows, so they are kept."""
-    train = train.persist()
+    train = staged(train, "train")
     good = train.groupBy("as_of").agg(F.countDistinct("ticker").alias("c")).where(F.col("c") >= least)
     return train.join(good.select("as_of"), "as_of", "left_semi")
 
 
 def choose(train: DataFrame, sectors: DataFrame, config: BacktestConfig) -> DataFrame:
     """``as_of, ticker, score, mean_return`` of the names to hold: shared by all allocators."""
-    scores = select.rank_stocks(train, config.profile.weights, min_obs=config.min_obs).persist()
+    scores = staged(select.rank_stocks(train, config.profile.weights, min_obs=config.min_obs), "scores")
     chosen = select.select_candidates(scores, train, sectors, config.n_select, config.corr_threshold, config.per_sector, config.profile.min_positions)
-    return chosen.join(scores.select("as_of", "ticker", "mean_return"), ["as_of", "ticker"]).persist()
+    return staged(chosen.join(scores.select("as_of", "ticker", "mean_return"), ["as_of", "ticker"]), "chosen")
 
 
 def holding_values(weights: DataFrame, returns: DataFrame, dates: DataFrame) -> DataFrame:
@@ -142,6 +143,7 @@ def run_backtest(returns: DataFrame, market: DataFrame, sectors: DataFrame, conf
     """
     config = config or BacktestConfig()
     dates = rebalance_dates(market, config.train_months, config.hold_months)
+    dates = staged(dates, "dates")
     if dates.isEmpty():
         raise ValueError("no rebalance dates: the sample is shorter than the training window")
     train = enough_names(training_windows(returns, market, dates, config.train_months, config.coverage), config.profile.min_positions)
@@ -156,8 +158,8 @@ def run_backtest(returns: DataFrame, market: DataFrame, sectors: DataFrame, conf
             extra["cov"] = matrix.cov_from_vols(sub, vols, group=["as_of"])
         else:
             extra["cov"] = matrix.ESTIMATORS[config.cov_estimator](sub, group=["as_of"])
-    weights = ALLOCATORS[config.allocator](chosen, sub, cons, **extra).where("weight > 0").select("as_of", "ticker", "weight").persist()
-    values = holding_values(weights, returns, dates)
+    weights = staged(ALLOCATORS[config.allocator](chosen, sub, cons, **extra).where("weight > 0").select("as_of", "ticker", "weight"), "weights")
+    values = staged(holding_values(weights, returns, dates), "values")
     costs = trading_costs(weights, drifted_weights(values), config.cost_bps)
     return BacktestResult(book_costs(period_returns(values), costs), weights, costs)
 
