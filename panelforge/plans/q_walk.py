@@ -247,7 +247,7 @@ def _(spark, d):
     return walk.buy_and_hold(B.mkt(spark, d), run(spark, d, "equal_weight").daily).select("date", r6("ret").alias("ret"))
 
 
-@query("B11_common_window", ", s AS (SELECT ticker AS name, date, ret FROM rets) SELECT name, date, round(ret, 6) AS ret FROM s WHERE date IN (SELECT date FROM s GROUP BY date HAVING count(DISTINCT name) = (SELECT count(DISTINCT name) FROM s))")
+@query("B11_common_window", ", s AS (SELECT ticker AS name, date, ret FROM rets WHERE ticker <= 'Brand#11') SELECT name, date, round(ret, 6) AS ret FROM s WHERE date IN (SELECT date FROM s GROUP BY date HAVING count(DISTINCT name) = (SELECT count(DISTINCT name) FROM s))")
 def _(spark, d):
-    s = B.rets(spark, d).withColumnRenamed("ticker", "name")
+    s = B.rets(spark, d).where("ticker <= 'Brand#11'").withColumnRenamed("ticker", "name")
     return panel.common_dates(s).select("name", "date", r6("ret").alias("ret"))
