@@ -39,3 +39,17 @@ def test_every_pair_within_the_word_distance_is_found(spark):
     same = ["again"] * 30
     pairs.append((same, edited(rng, same, 6)))
     assert kept_lines(spark, pairs) == expect
+
+
+def test_short_words_scripts_without_blanks_and_very_long_lines(spark):
+    rng = random.Random(22)
+    short = [letters(rng, rng.randint(1, 4)) for _ in range(10)]
+    han = [chr(0x4E00 + rng.randrange(20000)) for _ in range(30)]
+    thai = [chr(0x0E01 + rng.randrange(46)) for _ in range(30)]
+    copies = [list(x) for x in (han, thai)]
+    copies[0][7], copies[1][7] = chr(0x9FA0), chr(0x0E40)
+    long = [letters(rng, 6) for _ in range(20_000)]
+    several = [letters(rng, 6) for _ in range(900)]
+    pairs = [(short, edited(rng, short, 2)), ("".join(han), "".join(copies[0])), ("".join(thai), "".join(copies[1])), (long, edited(rng, long, 400)), (several, edited(rng, several, 180))]
+    pairs = [tuple([x] if isinstance(x, str) else x for x in pair) for pair in pairs]
+    assert kept_lines(spark, pairs) == set()
