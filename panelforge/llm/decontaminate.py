@@ -1,7 +1,9 @@
 """Benchmark decontamination by q-gram lemma filtering.
 
-Texts are normalised: lower case, everything but letters and digits to single blanks. Benchmark items are cut into segments
-of ``SEGMENT`` to twice as many characters (a shorter item is one segment). A segment of ``m`` characters may occur with
+Texts are normalised: lower case, everything but letters and digits to single blanks. Benchmark items are cut twice: into
+segments of ``SEGMENT`` to twice as many characters (a shorter item is one segment), side by side; and into overlapping segments
+of ``WINDOW`` characters, ``STRIDE`` apart, so that a passage of ``WINDOW + STRIDE - 1`` characters or more holds a whole one
+wherever it begins. A segment of ``m`` characters may occur with
 ``e = m * EDIT_PERCENT // 100`` edits; any such occurrence shares ``m - Q + 1 - Q * e`` of its character q-grams or more, all
 on diagonals (text position less segment position) within ``e`` of each other. So the scan
 
@@ -23,15 +25,20 @@ from . import common
 
 Q = 8
 SEGMENT, EDIT_PERCENT = 100, 8
+WINDOW, STRIDE = 50, 10
 #: Items with fewer normalised characters have no passage to look for.
 LEAST = 24
 #: Benchmark text (bytes) that is indexed and broadcast at once; a larger benchmark is scanned in blocks.
 BLOCK_BYTES = 16_000_000
 #: Characters of text that are scanned at once (a longer text alone).
 GROUP = 1 << 20
+#: Cells of the alignments that are made at once.
+CELLS = 1 << 21
 
 _HASH_BITS = 22
 _K = np.uint64(0x9E3779B97F4A7C15)
+#: No character: pads regions.
+_NOTHING = np.uint32(0xFFFFFFFF)
 _TABLE: list[np.ndarray] = []
 
 
@@ -75,40 +82,64 @@ def _slot(grams: np.ndarray) -> np.ndarray:
 
 
 class Index:
-    """The q-grams of a block of benchmark items, by segment and position."""
+    """The q-grams of a block of benchmark items, by place in the items laid end to end; and their segments."""
 
     def __init__(self, items: list[tuple[int, str]]):
-        self.items, self.codes, grams, where = [], [], [], []
+        whole, self.items, begins, sizes, slides = [], [], [], [], []
+        base = 0
         for item, text in items:
             codes = normal([text])[0]
             codes = codes[1:-1] if len(codes) > 1 else codes[:0]
             if len(codes) < LEAST:
                 continue
-            parts = max(1, len(codes) // SEGMENT)
-            for part in np.array_split(codes, parts):
-                g = _grams(part)
-                grams.append(g)
-                where.append(np.stack([np.full(len(g), len(self.codes)), np.arange(len(g))]))
+            for part in np.array_split(np.arange(len(codes)), max(1, len(codes) // SEGMENT)):
                 self.items.append(item)
-                self.codes.append(part)
-        self.size = np.array([len(c) for c in self.codes], np.int64)
+                begins.append(base + int(part[0]))
+                sizes.append(len(part))
+            slides.append((item, base, (len(codes) - WINDOW) // STRIDE + 1 if len(codes) > WINDOW else 0))
+            whole.append(codes)
+            base += len(codes)
+        self.long = len(begins)
+        self.bases = np.array([x for _, x, _ in slides], np.int64)
+        self.windows = np.array([x for _, _, x in slides], np.int64)
+        self.window = self.long + np.cumsum(self.windows) - self.windows
+        for item, at, count in slides:
+            self.items += [item] * count
+            begins += range(at, at + count * STRIDE, STRIDE)
+            sizes += [WINDOW] * count
+        self.codes = np.concatenate(whole) if whole else np.zeros(0, np.uint32)
+        self.begin, self.size = np.array(begins, np.int64), np.array(sizes, np.int64)
         self.edits = np.minimum(self.size * EDIT_PERCENT // 100, (self.size - Q) // Q)
         self.bound = self.size - Q + 1 - Q * self.edits
+        grams = [_grams(x) for x in whole]
+        places = np.concatenate([x + np.arange(len(g)) for x, g in zip(self.bases, grams, strict=True)]) if whole else np.zeros(0, np.int64)
         all_grams = np.concatenate(grams) if grams else np.zeros(0, np.uint64)
         order = np.argsort(all_grams, kind="stable")
-        self.grams, first, self.count = np.unique(all_grams[order], return_index=True, return_counts=True)
-        self.first = first
-        self.segment, self.at = (np.concatenate(where, 1)[:, order] if where else np.zeros((2, 0), np.int64))
+        self.grams, self.first, self.count = np.unique(all_grams[order], return_index=True, return_counts=True)
+        self.place = places[order]
+        self.reach = int((self.size + 2 * self.edits).max(initial=0))
         self.slots = np.zeros(1 << _HASH_BITS, bool)
         self.slots[_slot(self.grams)] = True
 
+    def _segments(self, place: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Pairs of arrays: which of the places of q-grams lie whole in a segment, and in which one."""
+        side = np.searchsorted(self.begin[: self.long], place, "right") - 1
+        inside = np.flatnonzero(place + Q <= self.begin[side] + self.size[side])
+        yield inside, side[inside]
+        item = np.searchsorted(self.bases, place, "right") - 1
+        within = place - self.bases[item]
+        for back in range(-(-(WINDOW - Q + 1) // STRIDE)):
+            k = within // STRIDE - back
+            inside = np.flatnonzero((k >= 0) & (k < self.windows[item]) & (within - k * STRIDE <= WINDOW - Q))
+            yield inside, (self.window[item] + k)[inside]
+
     def _hits(self, grams: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Positions whose q-gram is the benchmark's, in stretches with enough of them; and its number."""
         at = np.flatnonzero(self.slots[_slot(grams)])
         number = np.minimum(np.searchsorted(self.grams, grams[at]), len(self.grams) - 1)
         real = self.grams[number] == grams[at]
         at, number = at[real], number[real]
-        reach = int((self.size + 2 * self.edits).max())
+        reach = self.reach
         enough = np.searchsorted(at, at + reach, "left") - np.arange(len(at)) >= self.bound.min()
         edge = np.zeros(len(grams) + reach + 1, np.int32)
         np.add.at(edge, at[enough], 1)
@@ -122,33 +153,47 @@ class Index:
         Characters count from 0 in the lower-cased text. Of a segment's occurrences in a text, the one with the fewest
         edits is given, of equal ones the first.
         """
-        if not self.codes:
+        if not len(self.codes):
             return
         codes, begins, places = normal(texts)
         at, number = self._hits(_grams(codes))
         n = self.count[number]
         spread = np.repeat(self.first[number] - np.cumsum(n) + n, n) + np.arange(n.sum())
-        segment, diagonal = self.segment[spread], np.repeat(at, n) - self.at[spread]
-        width = self.edits[segment] + 1
-        band = (diagonal + (1 << 40)) // width
-        key, count = np.unique(np.concatenate([segment << 45 | band, segment << 45 | band - 1]), return_counts=True)
+        place, at = self.place[spread], np.repeat(at, n)
+        keys = []
+        for inside, segment in self._segments(place):
+            diagonal = at[inside] - place[inside] + self.begin[segment]
+            band = (diagonal + (1 << 40)) // (self.edits[segment] + 1)
+            keys += [segment << 45 | band, segment << 45 | band - 1]
+        key, count = np.unique(np.concatenate(keys), return_counts=True)
         segment, band = key >> 45, key & (1 << 45) - 1
         good = count >= self.bound[segment]
         segment, band = segment[good], band[good]
-        low = band * (self.edits[segment] + 1) - (1 << 40)
-        best: dict[tuple[int, int], tuple] = {}
-        for s, lo in zip(segment.tolist(), low.tolist(), strict=True):
-            e, m = int(self.edits[s]), int(self.size[s])
-            middle = min(max(lo + e + m // 2, 0), len(codes) - 1)
-            text = int(np.searchsorted(begins, middle, "right")) - 1
-            left, right = max(lo - e, int(begins[text])), min(lo + 2 * (e + 1) + m + e, int(begins[text + 1]))
-            found = align(self.codes[s], codes[left:right], e)
-            if found:
-                edits, first, last = found
-                old = best.get((text, s))
-                start = int(places[left + first])
-                if old is None or (edits, start) < (old[2], old[0]):
-                    best[text, s] = (start, int(places[left + last]), edits)
+        e, m = self.edits[segment], self.size[segment]
+        low = band * (e + 1) - (1 << 40)
+        text = np.searchsorted(begins, np.clip(low + e + m // 2, 0, len(codes) - 1), "right") - 1
+        left, right = np.maximum(low - e, begins[text]), np.minimum(low + 2 * (e + 1) + m + e, begins[text + 1])
+        found: dict[tuple[int, int], tuple] = {}
+        for exact in (True, False):
+            for size in np.unique(m).tolist():
+                same = np.flatnonzero(m == size)
+                if not exact:
+                    same = np.array([j for j in same.tolist() if (int(text[j]), int(segment[j])) not in best], np.int64)
+                step = max(1, CELLS // (3 * size))
+                for some in (same[k : k + step] for k in range(0, len(same), step)):
+                    budget = int(e[some[0]])
+                    wanted = self.codes[self.begin[segment[some]][:, None] + np.arange(size)]
+                    length = np.maximum(right[some] - left[some], 0)
+                    column = np.arange(int(length.max(initial=0)))
+                    region = np.where(column < length[:, None], codes[np.minimum(left[some][:, None] + column, len(codes) - 1)], _NOTHING)
+                    edits, first, last = align_equal(wanted, region) if exact else align_all(wanted, region, length, budget)
+                    for k in np.flatnonzero(edits <= budget).tolist():
+                        j = int(some[k])
+                        name, cost, start = (int(text[j]), int(segment[j])), int(edits[k]), int(places[left[j] + first[k]])
+                        old = found.get(name)
+                        if old is None or (cost, start) < (old[2], old[0]):
+                            found[name] = (start, int(places[left[j] + last[k]]), cost)
+            best = dict(found)  # nothing has fewer edits than an equal part
         shift = np.cumsum([0, *(len(x.lower()) + 2 for x in texts)])
         for (text, s), (start, stop, edits) in sorted(best.items()):
             yield text, s, start - int(shift[text]) - 1, stop - int(shift[text]) - 1, edits, int(self.size[s])
@@ -157,44 +202,65 @@ class Index:
 def align(segment: np.ndarray, region: np.ndarray, budget: int) -> tuple[int, int, int] | None:
     """Fewest edits that turn a part of ``region`` into all of ``segment``, with the part's first and last character.
 
-    None if they exceed ``budget``. A row of the table holds the distances for one prefix of the segment; only diagonals
-    that the region leaves open exist, and they are as many as the band is wide.
+    None if they exceed ``budget``.
     """
-    m, n = len(segment), len(region)
-    if not m or n < m - budget:
+    if not len(segment) or len(region) < len(segment) - budget:
         return None
-    width = n - m + 2 * budget + 1
+    edits, first, last = align_all(segment[None], region[None], np.array([len(region)]), budget)
+    return (int(edits[0]), int(first[0]), int(last[0])) if edits[0] <= budget else None
+
+
+def align_equal(segments: np.ndarray, regions: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """As ``align_all``, for parts equal to the segment: 0 edits, or as many as the segment's characters and one if none is."""
+    rows, m = segments.shape
+    first = np.full(rows, -1)
+    for k in range(regions.shape[1] - m, -1, -1):
+        here = np.flatnonzero(regions[:, k] == segments[:, 0])
+        first[here[(regions[here, k : k + m] == segments[here]).all(1)]] = k
+    return np.where(first < 0, m + 1, 0), first, first + m - 1
+
+
+def align_all(segments: np.ndarray, regions: np.ndarray, lengths: np.ndarray, budget: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For each row: fewest edits (over ``budget`` if there are more), first and last character of the part of its region.
+
+    Regions have ``lengths`` characters each. A row of a table holds the distances for one prefix of the segment; only
+    diagonals that the longest region leaves open exist, and they are as many as the band is wide.
+    """
+    rows, m = segments.shape
+    n = lengths[:, None]
+    width = max(int(lengths.max(initial=0)) - m, 0) + 2 * budget + 1
     offset = np.arange(width) - budget
-    far = m + n + 1
-    row = np.where((offset >= 0) & (offset <= n), 0, far)
-    start = np.where((offset >= 0) & (offset <= n), offset, 0)
+    far = np.int32(m + regions.shape[1] + 1)
+    flat = np.concatenate([regions, np.full((rows, 1), _NOTHING, regions.dtype)], 1)
+    row = np.where((offset >= 0) & (offset <= n), np.int32(0), far)
+    start = np.where((offset >= 0) & (offset <= n), offset.astype(np.int32), np.int32(0))
+    steps, blank = np.arange(width, dtype=np.int32), np.full((rows, 1), far, np.int32)
     for i in range(1, m + 1):
         column = offset + i
         inside = (column >= 1) & (column <= n)
-        same = np.zeros(width, bool)
-        same[inside] = region[column[inside] - 1] == segment[i - 1]
+        same = flat[:, np.clip(column - 1, 0, regions.shape[1])] == segments[:, i - 1 : i]
         across = np.where(inside, row + ~same, far)
-        down = np.append(row[1:], far) + 1
-        down_start = np.append(start[1:], 0)
+        down = np.concatenate([row[:, 1:], blank], 1) + np.int32(1)
+        down_start = np.concatenate([start[:, 1:], np.zeros((rows, 1), np.int32)], 1)
         take = down < across
         cost, begin = np.where(take, down, across), np.where(take, down_start, start)
-        cost = np.where((column >= 0) & (column <= n), cost, far)
-        slid = cost - np.arange(width)
-        lowest = np.minimum.accumulate(slid)
-        source = np.maximum.accumulate(np.where(slid == lowest, np.arange(width), 0))
-        row, start = lowest + np.arange(width), begin[source]
-        row = np.where((column >= 0) & (column <= n), row, far)
-    k = int(row.argmin())
-    if row[k] > budget:
-        return None
-    return int(row[k]), int(start[k]), max(int(offset[k] + m) - 1, int(start[k]))
+        open_ = (column >= 0) & (column <= n)
+        slid = np.where(open_, cost, far) - steps
+        lowest = np.minimum.accumulate(slid, 1)
+        source = np.maximum.accumulate(np.where(slid == lowest, steps, 0), 1)
+        row, start = np.where(open_, lowest + steps, far), np.take_along_axis(begin, source, 1)
+    k = row.argmin(1)
+    every = np.arange(rows)
+    first = start[every, k]
+    return row[every, k], first, np.maximum(offset[k] + m - 1, first)
 
 
 def find_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """``doc_id, item_id, n_segments, of_segments, edits, first_char, last_char`` of each benchmark item found in a text.
 
-    An item is found if one of its segments is. ``edits`` adds up over the segments found; the characters span them, in the
-    lower-cased text. Null and empty texts and items, and items under ``LEAST`` normalised characters, give nothing. Whole
+    An item is found if one of its segments is, side by side or overlapping; all count in ``n_segments``, and ``edits`` adds
+    up over the segments found (an edit that overlapping ones share counts in each); the characters span them, in the lower-cased
+    text. So an item's passage of 59 normalised characters or more is found wherever it begins. Null and empty texts and items, and items under ``LEAST`` normalised characters, give nothing. Whole
     texts are scanned, however long; equal rows of documents give equal rows of results; repeated item_ids are told apart
     by their text and reported under their id; a null id is reported as null. Other columns aren't read.
     """

@@ -2,7 +2,7 @@
 
 import random
 
-from panelforge.llm import fuzzy_lines
+from panelforge.llm import decontaminate, fuzzy_lines
 
 
 def letters(rng, n):
@@ -53,3 +53,15 @@ def test_short_words_scripts_without_blanks_and_very_long_lines(spark):
     pairs = [(short, edited(rng, short, 2)), ("".join(han), "".join(copies[0])), ("".join(thai), "".join(copies[1])), (long, edited(rng, long, 400)), (several, edited(rng, several, 180))]
     pairs = [tuple([x] if isinstance(x, str) else x for x in pair) for pair in pairs]
     assert kept_lines(spark, pairs) == set()
+
+
+def test_part_of_an_item_is_found_wherever_it_begins(spark):
+    rng = random.Random(23)
+    sentence = lambda n: " ".join(letters(rng, rng.randint(2, 9)) for _ in range(n))
+    items = [(k, sentence(n)) for k, n in enumerate((12, 25, 33, 60, 100))]
+    passages = [(item, text[a : a + 60]) for item, text in items for a in range(0, len(text) - 59, 7)]
+    a_letter = [(item, p[:30] + "#" + p[31:]) for item, p in passages]
+    docs = [(k, f"{sentence(20)} {p.upper()} {sentence(20)}") for k, (_, p) in enumerate(passages + a_letter)] + [(-1, sentence(500)), (-2, items[3][1][:30])]
+    frames = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    found = {(r["doc_id"], r["item_id"]) for r in decontaminate.find_leaks(*frames).collect()}
+    assert found == {(k, item) for k, (item, _) in enumerate(passages + a_letter)}
