@@ -36,8 +36,8 @@ def shape(word: str) -> str:
     return _RUNS.sub(lambda m: "a" if m[1] else "0" if m[2] else m[3], word)
 
 
-def features(texts: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
-    """For groups of texts: (first text, hashed n-grams, index of each one's text in the group, their value)."""
+def features(texts: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, np.ndarray]]:
+    """For groups of texts: (first text, number of texts, hashed n-grams, index of each one's text in the group, their value)."""
     texts = pc.fill_null(texts.cast(pa.large_string()), "")
     upto = np.cumsum(pc.binary_length(texts).to_numpy(zero_copy_only=False).astype(np.int64))
     a = 0
@@ -63,7 +63,7 @@ def features(texts: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.
             who = np.concatenate([owner, owner[1:][inside]])
             share = np.bincount(who, minlength=b - a)
             parts.append((_bucket(hashed), who, SCALE / share[who]))
-        yield a, *(np.concatenate(x) for x in zip(*parts, strict=True))
+        yield a, b - a, *(np.concatenate(x) for x in zip(*parts, strict=True))
         a = b
 
 
@@ -95,8 +95,7 @@ def _rows(docs: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for start, hashed, who, value in features(batch.column(1)):
-                count = min(int(who.max()) + 1 if len(who) else 0, batch.num_rows - start)
+            for start, count, hashed, who, value in features(batch.column(1)):
                 pair, where = np.unique(who.astype(np.int64) << 32 | hashed, return_inverse=True)
                 total = np.bincount(where, value).astype(np.float32)
                 cuts = np.searchsorted(pair, np.arange(count + 1, dtype=np.int64) << 32)
@@ -134,8 +133,8 @@ def train(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS) -> n
 
 def score_texts(texts: pa.Array, weights: np.ndarray) -> np.ndarray:
     out = np.full(len(texts), float(weights[-1]))
-    for start, hashed, who, value in features(texts):
-        out[start : start + int(who.max(initial=-1)) + 1] += np.bincount(who, weights[hashed] * value)
+    for start, count, hashed, who, value in features(texts):
+        out[start : start + count] += np.bincount(who, weights[hashed] * value, count)
     return 1 / (1 + np.exp(-np.clip(out, -35, 35)))
 
 

@@ -2,7 +2,7 @@
 
 import random
 
-from panelforge.llm import decontaminate, fuzzy_lines
+from panelforge.llm import decontaminate, fuzzy_lines, quality_model
 
 
 def letters(rng, n):
@@ -65,3 +65,9 @@ def test_part_of_an_item_is_found_wherever_it_begins(spark):
     frames = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
     found = {(r["doc_id"], r["item_id"]) for r in decontaminate.find_leaks(*frames).collect()}
     assert found == {(k, item) for k, (item, _) in enumerate(passages + a_letter)}
+
+
+def test_labelled_texts_without_words_are_learned_from(spark):
+    rows = [(k, text, k % 2) for k, text in enumerate(["", "one two", " ", None, "three", "", "\t"])]
+    got = quality_model._rows(spark.createDataFrame(rows, "doc_id long, text string, label int").coalesce(1)).collect()
+    assert sorted((r["doc_id"], r["label"], bool(r["at"])) for r in got) == [(k, k % 2, k in (1, 4)) for k in range(7)]
