@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -18,11 +19,14 @@ CHECKPOINT_KEY = "spark.checkpoint.dir"
 def shared_dir(spark: SparkSession) -> str:
     """The folder that the driver and all executors see.
 
-    A cluster names it in ``spark.checkpoint.dir``. Only where that is unset (tests, local mode) a temporary folder is
-    made and kept in the session's settings, so that one session uses one folder.
+    A cluster names it in ``spark.checkpoint.dir``; without it a job on a cluster ends here, as executors don't see each
+    other's local folders. Only in local mode (tests) a temporary folder is made and kept in the session's settings, so that
+    one session uses one folder.
     """
     found = spark.conf.get(CHECKPOINT_KEY, None) or spark.conf.get("panelforge.work.dir", None)
     if not found:
+        if not spark.sparkContext.master.split("[")[0] == "local":
+            raise ValueError(f"{CHECKPOINT_KEY} must name a folder that the driver and all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="panelforge-")
         spark.conf.set("panelforge.work.dir", found)
     return found.rstrip("/")
@@ -52,6 +56,13 @@ def dropped(*frames: DataFrame) -> None:
             where.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
 
 
+def released(spark: SparkSession) -> None:
+    """Let Spark delete the shuffle files of plans that nothing refers to any more: it does so when the driver's garbage is
+    collected, which can take longer than many rounds of small jobs."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

@@ -30,6 +30,7 @@ def components(links: DataFrame) -> DataFrame:
         stars, before, mark = after, mark, _mark(after)
         if mark == before:
             break
+    common.released(links.sparkSession)
     return stars.select(F.col("a").alias("node"), F.col("b").alias("root"))
 
 
