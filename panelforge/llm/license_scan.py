@@ -12,6 +12,7 @@ import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
@@ -65,13 +66,22 @@ class Verdict:
 def parse_expression(text: str) -> list[str]:
     """Reverse Polish form of an identifier expression by the shunting-yard method; ValueError if it isn't one.
 
-    WITH binds tighter than AND, and AND tighter than OR; all three group to the left.
+    WITH binds tighter than AND, and AND tighter than OR; all three group to the left. What stands after the expression,
+    such as a comment's end, is left out. If that is prose, operators are those in capitals only: the ``and`` in "MIT and
+    more text" belongs to the prose.
     """
+    tokens = _TOKEN.findall(text)
+    out, rest = _postfix(tokens, str.lower)
+    return out if not rest else _postfix(tokens, lambda x: x.lower() if x.isupper() else "")[0]
+
+
+def _postfix(tokens: list[str], operator) -> tuple[list[str], bool]:
+    """The expression that the tokens begin with, and whether others follow; ``operator`` names an operator in lower case."""
     out: list[str] = []
     held: list[str] = []
-    operand_next = True
-    for token in _TOKEN.findall(text):
-        word = token.lower()
+    operand_next, rest, text = True, False, " ".join(tokens)
+    for token in tokens:
+        word = operator(token)
         if word in _BINDS:
             if operand_next:
                 raise ValueError(f"operator without a left side: {text!r}")
@@ -95,20 +105,21 @@ def parse_expression(text: str) -> list[str]:
             out.append(token)
             operand_next = False
         else:
-            break  # prose or a comment's end after the expression
+            rest = True
+            break
     if operand_next or "(" in held:
         raise ValueError(f"incomplete: {text!r}")
-    return out + held[::-1]
+    return out + held[::-1], rest
 
 
 def evaluate(postfix: list[str]) -> Verdict:
-    """AND needs both sides to be permissive, OR one of them; an exception after WITH leaves its licence's verdict."""
+    """AND needs both sides to be permissive, OR one of them; an exception after WITH leaves its licence's verdict and label."""
     stack: list[Verdict] = []
     for token in postfix:
         if token in _BINDS:
             right, left = stack.pop(), stack.pop()
             good = {"or": left.permissive or right.permissive, "and": left.permissive and right.permissive, "with": left.permissive}[token]
-            stack.append(Verdict(left.labels | right.labels, good))
+            stack.append(Verdict(left.labels if token == "with" else left.labels | right.labels, good))
         else:
             stack.append(Verdict(frozenset({token.lower()}), bool(PERMISSIVE.match(token))))
     return stack[0]
@@ -136,7 +147,7 @@ def scan_text(text: str, machine) -> tuple:
             continue
         evidence += 1
         if phrase in BASE_PHRASES:
-            starts.append(joined.count(" ", 0, end - len(phrase.encode()) - 1))
+            starts.append(end - len(phrase) - 1)
             base.add(BASE_PHRASES[phrase])
         else:
             labels.add(NOTICE_PHRASES[phrase])
@@ -152,7 +163,11 @@ def scan_text(text: str, machine) -> tuple:
         labels |= {f"spdx:{x}" for x in verdict.labels}
         permissive = verdict.permissive if permissive is None else permissive and verdict.permissive
     score = 1.0 - 0.5**evidence
-    return len(words), len(starts), min(starts, default=None), max(starts, default=None), ",".join(sorted(base)), ",".join(sorted(base | labels)), score, permissive, tags, bad
+    first = last = None
+    if starts:
+        blanks = np.flatnonzero(np.frombuffer(joined.encode("latin-1"), np.uint8) == 32)
+        first, last = np.searchsorted(blanks, [min(starts), max(starts)]).tolist()
+    return len(words), len(starts), first, last, ",".join(sorted(base)), ",".join(sorted(base | labels)), score, permissive, tags, bad
 
 
 def scan_licenses(docs: DataFrame) -> DataFrame:
