@@ -115,26 +115,35 @@ class Model:
 
 
 def bounded_sample(rows: DataFrame, bound: int, *key: str) -> DataFrame:
-    """About ``bound`` of the rows, chosen by a hash of ``key`` wherever they stand; never over twice as many."""
+    """About ``bound`` of the rows, chosen by a hash of ``key`` wherever they stand."""
     n = rows.count()
     if n <= bound:
         return rows
     part = F.pmod(F.xxhash64(*key, F.lit("sample")), F.lit(1 << 30))
-    return rows.where(part < int(bound / n * (1 << 30))).limit(2 * bound)
+    return rows.where(part < int(bound / n * (1 << 30)))
 
 
 def train(docs: DataFrame, train_docs: int = TRAIN_DOCS) -> Model:
-    """Fit on documents with a text and a ``lang``; without any the model knows no language."""
+    """Fit on documents with a text and a ``lang``; without any the model knows no language.
+
+    Languages come from all rows. Each is fitted on about ``train_docs`` / languages of its documents, chosen by a hash of
+    id and text wherever they stand, or on all of them if it has fewer. Their n-grams are counted once.
+    """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text"))
     rows = rows.where(F.col("lang").isNotNull() & F.col("text").isNotNull())
-    counts = count_grams(bounded_sample(rows, train_docs, "doc_id").select("lang", "text"))
-    langs = sorted(r["lang"] for r in counts.select("lang").distinct().limit(MAX_CELLS // BUCKETS + 1).collect())
+    sizes = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).limit(MAX_CELLS // BUCKETS + 1).collect()}
+    langs = sorted(sizes)
     if len(langs) * BUCKETS > MAX_CELLS:
         raise ValueError(f"{len(langs)} languages or more: the matrix would have over {MAX_CELLS} cells")
-    table = counts.toArrow()
     matrix = np.ones((BUCKETS, max(len(langs), 1)))
-    at = {x: k for k, x in enumerate(langs)}
-    matrix[table["bucket"].to_numpy(), [at[x] for x in table["lang"].to_pylist()]] += table["n"].to_numpy()
+    if langs:
+        below = [int(min(1.0, train_docs / len(langs) / sizes[x]) * (1 << 30)) for x in langs]
+        shares = docs.sparkSession.createDataFrame(list(zip(langs, below, strict=True)), "lang string, below long")
+        part = F.pmod(F.xxhash64("doc_id", "text", F.lit("sample")), F.lit(1 << 30))
+        sample = rows.join(F.broadcast(shares), "lang").where(part < F.col("below")).select("lang", "text")
+        table = count_grams(sample).toArrow()
+        at = {x: k for k, x in enumerate(langs)}
+        matrix[table["bucket"].to_numpy(), [at[x] for x in table["lang"].to_pylist()]] += table["n"].to_numpy()
     return Model(langs, np.log(matrix / matrix.sum(0)).astype(np.float32))
 
 
