@@ -9,6 +9,7 @@ numpy. A text in which a cut could matter (see ``_UNSAFE_*``) goes to the librar
 from __future__ import annotations
 
 import os
+import re
 import zlib
 from itertools import repeat
 
@@ -38,7 +39,8 @@ class ChunkEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        #: Texts that hold an added token's string are encoded whole, as the library does by default.
+        self.added = "|".join(re.escape(x.content) for x in self.tokenizer.get_added_tokens_decoder().values())
         self.vocab = self.tokenizer.get_vocab_size(with_added_tokens=True)
         self.dtype = np.dtype("<u2") if self.vocab <= 1 << 16 else np.dtype("<u4")
         self.keeps_blanks = bool(self._ids([" "])[0])
@@ -132,6 +134,8 @@ class ChunkEncoder:
 
     def _group(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         unsafe = pc.match_substring_regex(texts, _UNSAFE_BYTE if self.keeps_blanks else _UNSAFE_WORD).to_numpy(zero_copy_only=False)
+        if self.added:
+            unsafe = unsafe | pc.match_substring_regex(texts, self.added, ignore_case=True).to_numpy(zero_copy_only=False)
         if unsafe.any():
             whole = [np.array(x, self.dtype) for x in self._ids(texts.filter(pa.array(unsafe)).to_pylist())]
             texts = pc.if_else(pa.array(unsafe), "", texts)
