@@ -111,12 +111,13 @@ def _rows(docs: DataFrame) -> DataFrame:
 def train(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS) -> np.ndarray:
     """Weights (the bias last) from ``labels`` (doc_id, quality 0/1; other values and nulls are left out).
 
-    The sample, at most ``2 * train_rows`` rows whatever the table's size, is broadcast to find its texts, and one task
-    learns from it in the order of a hash. Without labelled texts all weights are 0.
+    The sample, about ``train_rows`` labelled ids whatever the table's size, is broadcast to find its texts (of rows with
+    one doc_id the least text), and one task learns from it in the order of a hash. Of labels that contradict each other the
+    lower one counts. Without labelled texts all weights are 0.
     """
     marked = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("label")).where(F.col("label").isin(0, 1) & F.col("doc_id").isNotNull())
-    sample = bounded_sample(marked, train_rows, "doc_id").dropDuplicates(["doc_id"])
-    texts = common.id_and_text(docs).join(F.broadcast(sample), "doc_id").select("doc_id", "text", "label").limit(4 * train_rows)
+    sample = bounded_sample(marked.groupBy("doc_id").agg(F.min("label").alias("label")), train_rows, "doc_id")
+    texts = common.id_and_text(docs).join(F.broadcast(sample), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"), F.first("label").alias("label"))
 
     def fit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows = [r for batch in batches for r in zip(*(c.to_pylist() for c in batch.columns), strict=True)]
@@ -154,12 +155,18 @@ def classify(docs: DataFrame, weights: np.ndarray) -> DataFrame:
 
 
 def keep_accepted(docs: DataFrame, weights: np.ndarray) -> DataFrame:
-    """The rows of ``docs``, all columns, that the model predicts as 1; scored where they are read, without a join."""
+    """The rows of ``docs`` that the model predicts as 1, all columns, whatever their names.
+
+    Only texts go to Python, in small batches. A null or empty text scores by the bias alone; repeated rows get one verdict;
+    an empty table gives an empty one.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(weights)
-    at = docs.columns.index("text")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in (x for b in batches for x in common.slices(b, at)):
-            yield batch.filter(pa.array(score_texts(batch.column(at), shared.value) >= 0.5))
+    @F.arrow_udf("boolean")
+    def accepted(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for texts in batches:
+            whole = pa.RecordBatch.from_arrays([texts], ["text"])
+            good = [score_texts(part.column(0), shared.value) >= 0.5 for part in common.slices(whole, 0)]
+            yield pa.array(np.concatenate(good) if good else np.zeros(0, bool))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.where(accepted(F.col("text").cast("string")))
