@@ -319,10 +319,13 @@ def near_duplicates(docs: DataFrame, words: int = 5) -> DataFrame:
 
 
 def drop_near_duplicates(docs: DataFrame, words: int = 5) -> DataFrame:
-    """The rows of ``docs`` without those that aren't their group's kept document."""
-    out = common.written(near_duplicates(docs, words).where(~F.col("kept")).select(F.col("doc_id").alias("__dropped")).distinct(), "dropped")
-    out = F.broadcast(out) if out.count() <= BROADCAST_IDS else out
-    return docs.join(out, F.col("doc_id") == F.col("__dropped"), "left_anti")
+    """The rows of ``docs`` without those that aren't their group's kept document; all columns, whatever their names.
+
+    Null and empty texts, and rows without doc_id, stay; repeated rows with a kept doc_id all stay; an empty table gives an
+    empty one.
+    """
+    gone = near_duplicates(docs, words).where(~F.col("kept")).select("doc_id").distinct()
+    return common.without_ids(docs, common.written(gone, "dropped"))
 
 
 def _settle(links: list[DataFrame], roots: DataFrame, pending: list[DataFrame], nodes: DataFrame, docs: DataFrame, words: int, every: bool = False) -> tuple:

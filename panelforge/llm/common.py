@@ -75,6 +75,19 @@ def id_and_text(docs: DataFrame, *, null_text: str | None = "") -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"))
 
 
+def without_ids(docs: DataFrame, ids: DataFrame, most_bytes: int = 32_000_000) -> DataFrame:
+    """The rows of ``docs`` whose doc_id isn't in the written table ``ids`` (doc_id long); rows without doc_id stay.
+
+    Columns may have any names: rows are held as one struct during the join. The ids are broadcast if they are within
+    ``most_bytes``, else the join shuffles.
+    """
+    once = ids.select("doc_id").distinct()
+    once = F.broadcast(once) if ids.count() * 16 <= most_bytes else once
+    rows = docs.select(F.struct("*").alias("row"))
+    left = rows.join(once, F.col("row")["doc_id"].cast("long") == F.col("doc_id"), "left_anti")
+    return left.select(*(F.col("row")[c].alias(c) for c in docs.columns))
+
+
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -294,6 +294,10 @@ _LEAK = ["doc_id", "item_id", "n_segments", "of_segments", "edits", "first_char"
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The rows of ``docs`` whose doc_id has no leak. Rows without doc_id can't be named and stay."""
-    leaked = common.written(find_leaks(docs, benchmark).select(F.col("doc_id").alias("__leaked")).distinct(), "leaked")
-    return docs.join(leaked, F.col("doc_id") == F.col("__leaked"), "left_anti")
+    """The rows of ``docs`` whose doc_id has no leak, all columns, whatever their names.
+
+    Rows without doc_id can't be named and stay; of repeated rows all go or all stay; null and empty texts stay; an empty
+    table gives an empty one.
+    """
+    leaked = find_leaks(docs, benchmark).where("doc_id IS NOT NULL").select("doc_id").distinct()
+    return common.without_ids(docs, common.written(leaked, "leaked"))

@@ -156,10 +156,14 @@ def test_variable_length_coding():
 @pytest.mark.parametrize("name", ["byte_bpe_50k.json", "word_bpe_49k.json"])
 def test_chunks_are_exact(name):
     odd = ["", " ", "  a  b ", "a\n\n b", "a\nb c.\n", "77 7 a7b 7", "it's we'll", "ΣΑΣ ΟΔΟΣ.", "a\tb \t c", "<|endoftext|> x", "İstanbul 한국", "a\x1cb", "x\0y", "x\x85y", None]
+    from tokenizers import Tokenizer
+
+    odd += ["a <|endoftext|> b <|startoftext|>", "x<|endoftext|>", "<|ENDOFTEXT|> y"]
+    fresh = Tokenizer.from_file(tokens.public_path(name))
     e = tokens.encoder(tokens.public_path(name))
     ids, bounds = e.encode(pa.array(odd))
     for x, a, b in zip(odd, bounds, bounds[1:], strict=False):
-        assert ids[a:b].tolist() == e.tokenizer.encode(x or "", add_special_tokens=False).ids
+        assert ids[a:b].tolist() == fresh.encode(x or "", add_special_tokens=False).ids
 
 
 def test_packing_covers_every_id_once(spark, corpus):
