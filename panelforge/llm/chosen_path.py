@@ -112,7 +112,7 @@ def _features(docs: DataFrame, words: int) -> DataFrame:
                 bits.append(b)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(key, pa.int64()), pa.array(tokens, pa.binary()), pa.array(bits, pa.binary())], ["doc_id", "n", "key", "tokens", "bits"])
 
-    return common.id_and_text(docs).mapInArrow(run, "doc_id long, n long, key long, tokens binary, bits binary")
+    return common.id_and_text(docs).mapInArrow(common.lean(run), "doc_id long, n long, key long, tokens binary, bits binary")
 
 
 def _branch(rows: DataFrame, trees: range | None = None) -> DataFrame:
@@ -134,7 +134,7 @@ def _branch(rows: DataFrame, trees: range | None = None) -> DataFrame:
                     yield pa.RecordBatch.from_arrays([pa.array(child[took].view(np.int64)), batch.column(0).take(at), batch.column(1).take(at)], ["path", "key", "n"])
 
     columns = ["key", "n", "tokens"] + ([] if trees is not None else ["path"])
-    return rows.select(*columns).mapInArrow(run, "path long, key long, n long")
+    return rows.select(*columns).mapInArrow(common.lean(run), "path long, key long, n long")
 
 
 def _alike(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -151,7 +151,7 @@ def _alike(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
 
     bits = nodes.select("key", "bits")
     both = pairs.join(bits.select(F.col("key").alias("a"), F.col("bits").alias("x")), "a").join(bits.select(F.col("key").alias("b"), F.col("bits").alias("y")), "b")
-    return both.select("a", "b", "x", "y").mapInArrow(run, "a long, b long, alike long")
+    return both.select("a", "b", "x", "y").mapInArrow(common.lean(run), "a long, b long, alike long")
 
 
 def _compared(rows: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -181,7 +181,7 @@ def _compared(rows: DataFrame, nodes: DataFrame) -> DataFrame:
 
     bits = rows.join(nodes.select("key", "bits"), "key").select("path", "key", "n", "part", "bits")
     together = bits.repartition(common.partitions(rows.sparkSession), "path").sortWithinPartitions("path")
-    return together.mapInArrow(run, "a long, b long, alike long")
+    return together.mapInArrow(common.lean(run), "a long, b long, alike long")
 
 
 def _node(batches: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -216,7 +216,7 @@ def _confirmed(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, words: int)
             found = [s.tobytes() for s in shingle_sets(batch.column(1), words)]
             yield pa.RecordBatch.from_arrays([pa.array([xxhash.xxh3_64_intdigest(s) - (1 << 63) for s in found], pa.int64()), pa.array(found, pa.binary())], ["key", "shingles"])
 
-    full = texts.mapInArrow(sets, "key long, shingles binary").join(keys.select("key"), "key", "left_semi").dropDuplicates(["key"])
+    full = texts.mapInArrow(common.lean(sets), "key long, shingles binary").join(keys.select("key"), "key", "left_semi").dropDuplicates(["key"])
     full = common.written(full, "sets")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -229,7 +229,7 @@ def _confirmed(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, words: int)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["a", "b"]).filter(pa.array(good, pa.bool_()))
 
     joined = pairs.select("a", "b").join(full.select(F.col("key").alias("a"), F.col("shingles").alias("x")), "a").join(full.select(F.col("key").alias("b"), F.col("shingles").alias("y")), "b")
-    out = common.written(joined.select("a", "b", "x", "y").mapInArrow(compare, "a long, b long"), "linked")
+    out = common.written(joined.select("a", "b", "x", "y").mapInArrow(common.lean(compare), "a long, b long"), "linked")
     common.dropped(full, keys)
     return out
 

@@ -285,7 +285,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
                     columns = list(zip(*((ids[t], item, n, totals[item], e, a, b) for (t, item), (n, e, a, b) in rows.items()), strict=True))
                     yield pa.RecordBatch.from_arrays([pa.array(list(c), pa.int64()) for c in columns], _LEAK)
 
-        leaks = common.id_and_text(docs).mapInArrow(run, ", ".join(f"{c} long" for c in _LEAK))
+        leaks = common.id_and_text(docs).mapInArrow(common.lean(run), ", ".join(f"{c} long" for c in _LEAK))
         out = leaks if out is None else out.unionByName(leaks)
     return out
 

@@ -87,7 +87,7 @@ def count_grams(texts: DataFrame) -> DataFrame:
             seen = np.flatnonzero(total)
             yield pa.RecordBatch.from_arrays([pa.array([lang] * len(seen)), pa.array(seen), pa.array(total[seen])], ["lang", "bucket", "n"])
 
-    return texts.mapInArrow(run, "lang string, bucket long, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
+    return texts.mapInArrow(common.lean(run), "lang string, bucket long, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
 
 
 class Model:
@@ -160,4 +160,4 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
             langs, score = shared.value.predict(batch.column(1).to_pylist())
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(langs, pa.string()), pa.array(score, pa.float64())], ["doc_id", "lang_pred", "score"])
 
-    return common.id_and_text(docs).mapInArrow(run, "doc_id long, lang_pred string, score double")
+    return common.id_and_text(docs).mapInArrow(common.lean(run), "doc_id long, lang_pred string, score double")

@@ -187,4 +187,4 @@ def scan_licenses(docs: DataFrame) -> DataFrame:
             kinds = [pa.int64()] * 4 + [pa.string()] * 2 + [pa.float64(), pa.bool_(), pa.int64(), pa.int64()]
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(list(c), k) for c, k in zip(columns, kinds, strict=True))], SCHEMA.names)
 
-    return common.id_and_text(docs).mapInArrow(run, SCHEMA)
+    return common.id_and_text(docs).mapInArrow(common.lean(run), SCHEMA)

@@ -77,7 +77,7 @@ def document_vectors(docs: DataFrame, tokenizer_path: str, end_id: int) -> DataF
             points = np.add.reduceat(matrix[flat], bounds[:-1], axis=0) / np.diff(bounds)[:, None]
             yield pa.RecordBatch.from_arrays([batch.column(0), binary_array(flat, bounds), *(pa.array(points[:, k].astype(float)) for k in range(DIMS)), batch.column(2)], VECTORS.names)
 
-    return common.id_and_text(docs).withColumn("tie", F.monotonically_increasing_id()).mapInArrow(run, VECTORS)
+    return common.id_and_text(docs).withColumn("tie", F.monotonically_increasing_id()).mapInArrow(common.lean(run), VECTORS)
 
 
 def _cut(sizes_left: int, length: int) -> list[int]:
@@ -140,9 +140,9 @@ def pack_sequences(docs: DataFrame, tokenizer_path: str, length: int = 1024, end
         if held:
             yield _batch(part, held)
 
-    keyed = vectors.mapInArrow(keys, "doc_id long, ids binary, key long, tie long")
+    keyed = vectors.mapInArrow(common.lean(keys), "doc_id long, ids binary, key long, tie long")
     ordered = keyed.repartitionByRange(common.partitions(spark), "key", "doc_id", "tie").sortWithinPartitions("key", "doc_id", "tie")
-    return ordered.select("doc_id", "ids").mapInArrow(pack, PIECES)
+    return ordered.select("doc_id", "ids").mapInArrow(common.lean(pack), PIECES)
 
 
 def _batch(part: int, pieces: list[tuple]) -> pa.RecordBatch:
@@ -167,7 +167,7 @@ def digest(pieces: DataFrame, dtype: np.dtype) -> DataFrame:
             crc = [crc_u32(np.frombuffer(x, dtype)) for x in batch.column(3).to_pylist()]
             yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in (0, 1, 2)), pa.array(crc, pa.int64()), *(batch.column(k) for k in (4, 5, 6))], _DIGEST)
 
-    return pieces.mapInArrow(run, ", ".join(f"{x} long" for x in _DIGEST))
+    return pieces.mapInArrow(common.lean(run), ", ".join(f"{x} long" for x in _DIGEST))
 
 
 _DIGEST = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]

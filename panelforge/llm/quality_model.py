@@ -105,7 +105,7 @@ def _rows(docs: DataFrame) -> DataFrame:
                 part = batch.slice(start, len(at))
                 yield pa.RecordBatch.from_arrays([part.column(2), part.column(0), pa.array(at, pa.binary()), pa.array(values, pa.binary())], ["label", "doc_id", "at", "value"])
 
-    return docs.mapInArrow(run, "label int, doc_id long, at binary, value binary")
+    return docs.mapInArrow(common.lean(run), "label int, doc_id long, at binary, value binary")
 
 
 def train(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS) -> np.ndarray:
@@ -128,7 +128,7 @@ def train(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS) -> n
                 leader.learn(np.frombuffer(at, np.int32), np.frombuffer(value, np.float32).astype(np.float64), label)
         yield pa.RecordBatch.from_arrays([pa.array([leader.weights().astype(np.float32).tobytes()], pa.binary())], ["weights"])
 
-    (row,) = _rows(texts).repartition(1).mapInArrow(fit, "weights binary").collect() or (None,)
+    (row,) = _rows(texts).repartition(1).mapInArrow(common.lean(fit), "weights binary").collect() or (None,)
     return np.frombuffer(row["weights"], np.float32).copy() if row else np.zeros((1 << BITS) + 1, np.float32)
 
 
@@ -151,7 +151,7 @@ def classify(docs: DataFrame, weights: np.ndarray) -> DataFrame:
             score = score_texts(batch.column(1), shared.value)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(score), pa.array((score >= 0.5).astype(np.int32))], ["doc_id", "score", "predicted"])
 
-    return common.id_and_text(docs).mapInArrow(run, "doc_id long, score double, predicted int")
+    return common.id_and_text(docs).mapInArrow(common.lean(run), "doc_id long, score double, predicted int")
 
 
 def keep_accepted(docs: DataFrame, weights: np.ndarray) -> DataFrame:
@@ -162,11 +162,14 @@ def keep_accepted(docs: DataFrame, weights: np.ndarray) -> DataFrame:
     """
     shared = docs.sparkSession.sparkContext.broadcast(weights)
 
-    @F.arrow_udf("boolean")
-    def accepted(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+    def scored(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for texts in batches:
             whole = pa.RecordBatch.from_arrays([texts], ["text"])
             good = [score_texts(part.column(0), shared.value) >= 0.5 for part in common.slices(whole, 0)]
             yield pa.array(np.concatenate(good) if good else np.zeros(0, bool))
 
+    @F.arrow_udf("boolean")
+    def accepted(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        yield from common.lean(scored)(batches)
+
     return docs.where(accepted(F.col("text").cast("string")))

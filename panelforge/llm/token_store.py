@@ -76,7 +76,7 @@ def encode_documents(docs: DataFrame, tokenizer_path: str, end_id: int) -> DataF
             yield pa.RecordBatch.from_arrays([batch.column(0), binary_array(flat, bounds + np.arange(n + 1)), batch.column(2)], ["doc_id", "ids", "tie"])
 
     source = common.id_and_text(docs).withColumn("tie", F.monotonically_increasing_id())
-    return source.mapInArrow(run, ENCODED)
+    return source.mapInArrow(common.lean(run), ENCODED)
 
 
 def _ranks(ids: DataFrame, vocab: int, dtype: np.dtype) -> list[int]:
@@ -89,7 +89,7 @@ def _ranks(ids: DataFrame, vocab: int, dtype: np.dtype) -> list[int]:
         seen = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(seen), pa.array(total[seen])], ["id", "n"])
 
-    rows = ids.select("ids").mapInArrow(count, "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).collect()
+    rows = ids.select("ids").mapInArrow(common.lean(count), "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).collect()
     counts = np.zeros(vocab, np.int64)
     for r in rows:
         counts[r["id"]] = r["n"]
@@ -136,7 +136,7 @@ def write_store(docs: DataFrame, tokenizer_path: str, end_id: int, path: str) ->
 
     n = common.partitions(spark)
     ordered = ids.repartitionByRange(n, "doc_id", "tie").sortWithinPartitions("doc_id", "tie").select("doc_id", "ids")
-    ordered.mapInArrow(pack, BLOCKS).write.parquet(f"{path}/blocks")
+    ordered.mapInArrow(common.lean(pack), BLOCKS).write.parquet(f"{path}/blocks")
     spark.createDataFrame([(by_rank,)], "ids array<int>").write.parquet(f"{path}/ranks")
     common.dropped(ids)
 
@@ -168,7 +168,7 @@ def read_store(spark, path: str) -> DataFrame:
                 start = before[row["part"]] + row["start"] + bounds[:-1]
                 yield pa.RecordBatch.from_arrays([pa.array(row["doc_ids"], pa.int64()), pa.array(start, pa.int64()), binary_array(ids.astype("<u4"), bounds)], ["doc_id", "start", "ids"])
 
-    return blocks.mapInArrow(unpack, "doc_id long, start long, ids binary")
+    return blocks.mapInArrow(common.lean(unpack), "doc_id long, start long, ids binary")
 
 
 def digest(store: DataFrame) -> DataFrame:

@@ -64,7 +64,7 @@ def archive(pages: DataFrame, segment_bytes: int = SEGMENT_BYTES) -> DataFrame:
             first = segment * segment_bytes
             yield pa.RecordBatch.from_arrays([pa.array(part + segment), pa.array(start - first), pa.array(size), batch.column(0), batch.column(1)], ["segment", "offset", "length", "page_id", "record"])
 
-    return ordered.select("page_id", "record").mapInArrow(place, "segment long, offset long, length long, page_id long, record binary")
+    return ordered.select("page_id", "record").mapInArrow(common.lean(place), "segment long, offset long, length long, page_id long, record binary")
 
 
 def write_archive(pages: DataFrame, path: str, segment_bytes: int = SEGMENT_BYTES) -> None:
