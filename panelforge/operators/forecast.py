@@ -10,7 +10,9 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..constants import HORIZON, TRADING_DAYS
+from ..constants import HORIZON, SEED, TRADING_DAYS
+from .signif import normal_cdf
+from .stage import staged
 
 
 def qlike_loss(actual: str, pred: str, floor: float = 1e-10) -> Column:
@@ -53,10 +55,32 @@ def hybrid(short: str = "rv_21", long: str = "rv_252") -> Column:
     return 0.5 * F.col(short) + 0.5 * F.coalesce(long, short)
 
 
+def baselines() -> dict[str, Column]:
+    """Random walk, EWMA and the mean of short and long volatility, the quarter's standing in for a missing year's."""
+    return {"random_walk": F.col("rv_21"), "ewma": F.col("ewma_94"), "hybrid": 0.5 * F.col("rv_21") + 0.5 * F.coalesce("rv_252", "rv_63")}
+
+
+def _carried(rows: DataFrame, lags: int) -> DataFrame:
+    """Rows in buckets of months, each with the ``lags`` rows before its first (``own`` false), wherever those stand.
+
+    Only a few rows a bucket are put in one order, so no task orders the whole table.
+    """
+    rows = rows.withColumn("bucket", F.year("date") * 12 + F.month("date"))
+    back = F.row_number().over(Window.partitionBy("bucket").orderBy(F.desc("date"), F.desc("ticker")))
+    tails = rows.withColumn("back", back).where(F.col("back") <= lags)
+    entry = F.struct("date", "ticker", "e")
+    ends = tails.groupBy("bucket").agg(F.array_sort(F.collect_list(entry)).alias("tail"))
+    above = Window.orderBy("bucket").rowsBetween(-lags, -1)
+    earlier = ends.select("bucket", F.flatten(F.collect_list("tail").over(above)).alias("earlier"))
+    carried = earlier.select("bucket", F.explode(F.slice(F.reverse("earlier"), 1, lags)).alias("x")).select("bucket", "x.*", F.lit(False).alias("own"))
+    return rows.select("bucket", "date", "ticker", "e", F.lit(True).alias("own")).unionByName(carried)
+
+
 def diebold_mariano(rows: DataFrame, a: str, b: str, loss: str = "qlike", lags: int = HORIZON, actual: str = "actual") -> DataFrame:
-    """``stat, n`` of the loss difference of two forecasts, with a HAC error over rows in order of (date, ticker).
+    """``stat, p, n`` of the loss difference of two forecasts, with a HAC error over rows in order of (date, ticker).
 
-    Rows are pooled in one order, as the test is defined; it runs over a table of forecasts, not over prices.
+    ``p`` is two-sided and normal; both are NULL under 30 rows. The rows are in one order, as the test is defined, but are
+    lagged in buckets of months that carry the rows before them.
     """
 
     def cost(c: str) -> Column:
@@ -64,16 +88,30 @@ def diebold_mariano(rows: DataFrame, a: str, b: str, loss: str = "qlike", lags:
         ratio = F.col(actual) * F.col(actual) / (p * p)
         return ratio - F.when(ratio > 0, F.ln(ratio)) - 1 if loss == "qlike" else F.pow(F.col(actual) - p, 2)
 
-    w = Window.partitionBy(F.lit(1)).orderBy("date", "ticker")
     d = rows.select("date", "ticker", (cost(a) - cost(b)).alias("d")).where("d IS NOT NULL AND NOT isnan(d) AND abs(d) < double('infinity')")
-    d = d.withColumn("e", F.col("d") - F.avg("d").over(Window.partitionBy(F.lit(1))))
-    d = d.select("d", "e", *(F.lag("e", k).over(w).alias(f"e{k}") for k in range(1, lags + 1)))
-    sums = d.agg(F.count("d").alias("n"), F.avg("d").alias("m"), F.sum(F.col("e") * F.col("e")).alias("g0"), *(F.coalesce(F.sum(F.col("e") * F.col(f"e{k}")), F.lit(0.0)).alias(f"g{k}") for k in range(1, lags + 1)))
+    mean = d.agg(F.avg("d").alias("m"))
+    e = d.crossJoin(F.broadcast(mean)).select("date", "ticker", (F.col("d") - F.col("m")).alias("e"))  # one row
+    w = Window.partitionBy("bucket").orderBy("date", "ticker")
+    lagged = _carried(e, lags).select("e", "own", *(F.lag("e", k).over(w).alias(f"e{k}") for k in range(1, lags + 1))).where("own")
+    sums = lagged.agg(F.count("e").alias("n"), F.sum(F.col("e") * F.col("e")).alias("g0"), *(F.coalesce(F.sum(F.col("e") * F.col(f"e{k}")), F.lit(0.0)).alias(f"g{k}") for k in range(1, lags + 1)))
     total = F.col("g0")
     for k in range(1, lags + 1):
         total = total + 2 * (1 - k / (lags + 1)) * F.col(f"g{k}")
     error = F.sqrt(F.greatest(total / F.col("n") / F.col("n"), F.lit(1e-18)))
-    return sums.select(F.when(F.col("n") >= 30, F.col("m") / error).alias("stat"), "n")
+    out = sums.crossJoin(mean).select(F.when(F.col("n") >= 30, F.col("m") / error).alias("stat"), "n")  # one row each
+    return out.withColumn("size", F.abs("stat")).select("stat", (2 * (1 - normal_cdf("size"))).alias("p"), "n")
+
+
+def dm_table(preds: DataFrame, model: str, contenders: Sequence[str]) -> DataFrame:
+    """``comparison, loss, stat, p, n, verdict`` of a model against each contender under both losses, on rows that have all
+    of actual value, model and contender."""
+    out = None
+    for other in contenders:
+        rows = preds.dropna(subset=["actual", model, other])
+        for loss in ("qlike", "mse"):
+            one = diebold_mariano(rows, model, other, loss).select(F.lit(f"{model} vs {other}").alias("comparison"), F.lit(loss.upper()).alias("loss"), "stat", "p", "n")
+            out = one if out is None else out.unionByName(one)
+    return out.withColumn("verdict", verdict(F.col("stat"), F.col("p")))
 
 
 def verdict(stat: Column, p: Column, level: float = 0.05) -> Column:
@@ -81,10 +119,15 @@ def verdict(stat: Column, p: Column, level: float = 0.05) -> Column:
 
 
 class Booster:
-    """Least-squares gradient boosting of shallow trees over quantile bins; missing values have a bin of their own."""
+    """Least-squares gradient boosting of shallow trees over quantile bins; missing values have a bin of their own.
+
+    Each round draws a share of the rows and of the features. ``l2`` is added to a node's rows where its value and gain are
+    worked out. ``gain`` adds up what each feature's splits gain.
+    """
 
-    def __init__(self, rounds: int = 120, depth: int = 4, rate: float = 0.08, least: int = 40, bins: int = 48):
-        self.rounds, self.depth, self.rate, self.least, self.bins = rounds, depth, rate, least, bins
+    def __init__(self, rounds: int = 400, depth: int = 5, rate: float = 0.05, least: int = 100, bins: int = 48, share: float = 0.8, l2: float = 1.0, seed: int = SEED):
+        self.rounds, self.depth, self.rate, self.least, self.bins, self.share, self.l2 = rounds, depth, rate, least, bins, share, l2
+        self.rng = np.random.default_rng(seed)
 
     def _binned(self, x: np.ndarray) -> np.ndarray:
         out = np.stack([np.searchsorted(c, x[:, j], "right") + 1 for j, c in enumerate(self.cuts)], 1)
@@ -97,78 +140,97 @@ class Booster:
         self.base, self.trees, self.gain = float(y.mean()), [], np.zeros(x.shape[1])
         pred = np.full(len(y), self.base)
         for _ in range(self.rounds):
+            some = np.flatnonzero(self.rng.random(len(y)) < self.share)
+            used = np.sort(self.rng.permutation(x.shape[1])[: max(1, round(self.share * x.shape[1]))])
+            flat = z[:, used] + np.arange(len(used)) * (self.bins + 1)
             tree: list = []
-            pred += self.rate * self._grow(z, y - pred, np.arange(len(y)), self.depth, tree)
+            self._grow(flat, used, y - pred, some if len(some) else np.arange(len(y)), self.depth, tree)
             self.trees.append(tree)
+            pred += self.rate * self._values(tree, z)
         return self
 
-    def _grow(self, z: np.ndarray, r: np.ndarray, rows: np.ndarray, depth: int, tree: list) -> np.ndarray:
-        out = np.zeros(len(r))
-        best = (1e-12, 0, 0)
-        if depth and len(rows) >= 2 * self.least:
-            total = r[rows].sum() ** 2 / len(rows)
-            for j in range(z.shape[1]):
-                n = np.bincount(z[rows, j], minlength=self.bins + 1).cumsum()[:-1]
-                s = np.bincount(z[rows, j], r[rows], minlength=self.bins + 1).cumsum()[:-1]
-                m = len(rows) - n
-                good = (n >= self.least) & (m >= self.least)
-                gain = np.where(good, s**2 / np.maximum(n, 1) + (r[rows].sum() - s) ** 2 / np.maximum(m, 1) - total, 0)
-                if gain.max() > best[0]:
-                    best = (float(gain.max()), j, int(gain.argmax()))
-        if best[0] <= 1e-12:
-            tree.append(float(r[rows].mean()))
-            out[rows] = tree[-1]
-            return out
-        self.gain[best[1]] += best[0]
+    def _grow(self, flat: np.ndarray, used: np.ndarray, r: np.ndarray, rows: np.ndarray, depth: int, tree: list) -> None:
+        total, n = r[rows].sum(), len(rows)
+        gain = np.zeros(1)
+        if depth and n >= 2 * self.least:
+            here, width = flat[rows].ravel(), self.bins + 1
+            many = np.bincount(here, minlength=len(used) * width).reshape(len(used), width).cumsum(1)[:, :-1]
+            sums = np.bincount(here, np.repeat(r[rows], len(used)), minlength=len(used) * width).reshape(len(used), width).cumsum(1)[:, :-1]
+            good = (many >= self.least) & (n - many >= self.least)
+            gain = np.where(good, sums**2 / (many + self.l2) + (total - sums) ** 2 / (n - many + self.l2) - total**2 / (n + self.l2), 0.0)
+        if gain.max() <= 1e-12:
+            tree.append(float(total / (n + self.l2)))
+            return
+        j, cut = divmod(int(gain.argmax()), gain.shape[1])
+        self.gain[used[j]] += float(gain.max())
         at = len(tree)
         tree.append(None)
-        left = z[rows, best[1]] <= best[2]
-        out += self._grow(z, r, rows[left], depth - 1, tree)
+        left = flat[rows, j] - j * (self.bins + 1) <= cut
+        self._grow(flat, used, r, rows[left], depth - 1, tree)
         right = len(tree)
-        out += self._grow(z, r, rows[~left], depth - 1, tree)
-        tree[at] = (best[1], best[2], at + 1, right)
+        self._grow(flat, used, r, rows[~left], depth - 1, tree)
+        tree[at] = (int(used[j]), cut, at + 1, right)
+
+    def _values(self, tree: list, z: np.ndarray) -> np.ndarray:
+        out, stack = np.empty(len(z)), [(0, np.arange(len(z)))]
+        while stack:
+            node, rows = stack.pop()
+            if isinstance(tree[node], float):
+                out[rows] = tree[node]
+            else:
+                j, cut, a, b = tree[node]
+                go = z[rows, j] <= cut
+                stack += [(a, rows[go]), (b, rows[~go])]
         return out
 
     def predict(self, x: np.ndarray) -> np.ndarray:
         z, out = self._binned(x), np.full(len(x), self.base)
         for tree in self.trees:
-            stack = [(0, np.arange(len(x)))]
-            while stack:
-                node, rows = stack.pop()
-                if isinstance(tree[node], float):
-                    out[rows] += self.rate * tree[node]
-                else:
-                    j, cut, a, b = tree[node]
-                    go = z[rows, j] <= cut
-                    stack += [(a, rows[go]), (b, rows[~go])]
+            out += self.rate * self._values(tree, z)
         return out
 
 
-def walk_forward_predict(panel: DataFrame, features: Sequence[str], target: str = "fwd_vol_21", start_year: int = 2018, min_train: int = 3000, keep: Sequence[str] = ("rv_21", "ewma_94", "rv_252")) -> DataFrame:
-    """Predictions of expanding yearly folds: each year from models that saw only earlier years' rows.
+def walk_forward(panel: DataFrame, features: Sequence[str], target: str = "fwd_vol_21", start_year: int = 2018, min_train: int = 3000, keep: Sequence[str] = ("rv_21", "ewma_94", "rv_252"), embargo_days: int = 0, log_target: bool = True) -> tuple[DataFrame, DataFrame]:
+    """(predictions, gains) of expanding yearly folds: each year from models that saw only earlier years' rows.
 
-    A fold is one grouped-map task over the rows up to its year; folds run in parallel. The target is fitted in logs.
+    Gains are ``feature, fold_year, gain``. A fold is one grouped-map task over the rows up to its year; folds run in
+    parallel, and their rows are written once for both results. With ``embargo_days`` rows that many days before the year
+    don't train either, as the target reaches a horizon past its date. Raises ValueError if no fold has ``min_train`` rows.
     """
-    rows = panel.select("date", "ticker", target, *features)
+    rows = panel.select("date", "ticker", target, *features).where(F.col(target).isNotNull())
     years = rows.select(F.year("date").alias("fold_year")).distinct().where(F.col("fold_year") >= start_year)
     folds = rows.join(F.broadcast(years), F.year("date") <= F.col("fold_year"))
 
     def fit(part: pd.DataFrame) -> pd.DataFrame:
         part = part.sort_values(["date", "ticker"])
         fold = int(part["fold_year"].iloc[0])
-        year = pd.to_datetime(part["date"]).dt.year.to_numpy()
+        day = pd.to_datetime(part["date"])
         x, y = part[list(features)].to_numpy(dtype=float), part[target].to_numpy(dtype=float)
-        train, test = year < fold, year == fold
-        # the target reaches one horizon past its date: rows whose target ends in the test year don't train
-        train &= pd.to_datetime(part["date"]).to_numpy() < np.datetime64(f"{fold}-01-01") - np.timedelta64(45, "D")
+        test = (day.dt.year == fold).to_numpy()
+        train = ~test & (day < pd.Timestamp(fold, 1, 1) - pd.Timedelta(days=embargo_days)).to_numpy()
         out = part[test][["date", "ticker", target, *keep]].rename(columns={target: "actual"})
-        if train.sum() < min_train:
-            return out.assign(boosted=[], fold_year=[])[:0] if not len(out) else out.iloc[:0].assign(boosted=0.0, fold_year=fold)
-        model = Booster().fit(x[train], np.log(y[train]))
-        return out.assign(boosted=np.exp(model.predict(x[test])), fold_year=fold)
+        if train.sum() < min_train or not test.any():
+            return out.iloc[:0].assign(boosted=0.0, fold_year=fold, feature="")
+        model = Booster().fit(x[train], np.log(y[train]) if log_target else y[train])
+        pred = model.predict(x[test])
+        out = out.assign(boosted=np.exp(pred) if log_target else pred, fold_year=fold, feature=None)
+        return pd.concat([out, pd.DataFrame({"feature": list(features), "boosted": model.gain, "fold_year": fold})])
+
+    schema = "date date, ticker string, actual double, " + ", ".join(f"{k} double" for k in keep) + ", boosted double, fold_year int, feature string"
+    made = staged(folds.groupBy("fold_year").applyInPandas(fit, schema), "folds")
+    if made.isEmpty():
+        raise ValueError("no fold has enough rows to train on")
+    return made.where("feature IS NULL").drop("feature"), made.where("feature IS NOT NULL").select("feature", "fold_year", F.col("boosted").alias("gain"))
+
+
+def walk_forward_predict(panel: DataFrame, features: Sequence[str], **options) -> DataFrame:
+    """The predictions of ``walk_forward``."""
+    return walk_forward(panel, features, **options)[0]
+
 
-    schema = "date date, ticker string, actual double, " + ", ".join(f"{k} double" for k in keep) + ", boosted double, fold_year int"
-    return folds.groupBy("fold_year").applyInPandas(fit, schema)
+def mean_gains(gains: DataFrame) -> DataFrame:
+    """``feature, importance``: each feature's mean gain over the folds."""
+    return gains.groupBy("feature").agg(F.avg("gain").alias("importance"))
 
 
 def _garch_loss(theta: np.ndarray, r: np.ndarray) -> float:
@@ -188,14 +250,15 @@ def _shares(x: np.ndarray) -> tuple[float, float]:
     return a / (1 + a + b), b / (1 + a + b)
 
 
-def nelder_mead(f, start: np.ndarray, steps: int = 250) -> np.ndarray:
+def nelder_mead(f, start: np.ndarray, steps: int = 600) -> np.ndarray:
+    """The least point found; ValueError if the simplex hasn't shrunk together within ``steps``."""
     simplex = [start, *(start + 0.4 * np.eye(len(start))[i] for i in range(len(start)))]
     values = [f(x) for x in simplex]
     for _ in range(steps):
         order = np.argsort(values)
         simplex, values = [simplex[i] for i in order], [values[i] for i in order]
-        if values[-1] - values[0] < 1e-7:
-            break
+        if values[-1] - values[0] < 1e-5:
+            return simplex[0]
         centre = np.mean(simplex[:-1], axis=0)
         tries = [centre + k * (centre - simplex[-1]) for k in (1.0, 2.0, -0.5)]
         first = f(tries[0])
@@ -211,7 +274,7 @@ def nelder_mead(f, start: np.ndarray, steps: int = 250) -> np.ndarray:
             values = [values[0], *(f(x) for x in simplex[1:])]
         else:
             simplex[-1], values[-1] = point, value
-    return simplex[int(np.argmin(values))]
+    raise ValueError("not converged")
 
 
 def garch_forecasts(returns: DataFrame, points: DataFrame, horizon: int = HORIZON, window: int = 750, least: int = 250, refit_every: int = 3) -> DataFrame:

@@ -43,11 +43,35 @@ def fill_placeholders(template: str, values: dict[str, str]) -> str:
     return template
 
 
+# The order of a comparison's columns; others follow.
+COMPARED = ("name", "cagr", "annual_vol", "sharpe", "sortino", "max_drawdown", "calmar", "beta", "alpha", "information_ratio", "hit_rate", "turnover", "cost_drag")
+
+
 def comparison_table(sheets: DataFrame, turnover: DataFrame | None = None, cost_drag: DataFrame | None = None) -> DataFrame:
+    """Tearsheets with mean turnover and cost drag by name where they are given, in the order of ``COMPARED``."""
     for extra in (turnover, cost_drag):
         if extra is not None:
             sheets = sheets.join(extra, "name", "left")
-    return sheets
+    return sheets.select(*(c for c in COMPARED if c in sheets.columns), *(c for c in sheets.columns if c not in COMPARED))
+
+
+def mean_turnover(costs: DataFrame) -> DataFrame:
+    """``name, turnover``: the mean one-way turnover of each strategy's rebalances."""
+    return costs.groupBy("name").agg(F.avg("turnover").alias("turnover"))
+
+
+def stress_frame(stress: DataFrame, names: Sequence[str]) -> DataFrame:
+    """A row for each window with a column for each name; a window's remark in brackets goes to a line of its own."""
+    wide = stress.groupBy("window").pivot("name", list(names)).agg(F.first("total"))
+    return wide.withColumn("window", F.replace("window", F.lit(" ("), F.lit("\n(")))
+
+
+def heat_map(returns: DataFrame, most: int = 40) -> DataFrame:
+    """Correlations (a, b, value) of the first ``most`` tickers by name."""
+    from .matrix import correlation
+
+    first = returns.select("ticker").distinct().orderBy("ticker").limit(most)
+    return correlation(returns.join(F.broadcast(first), "ticker", "left_semi"))
 
 
 def stress_test(streams: DataFrame, windows: dict[str, tuple[str, str]] | None = None) -> DataFrame:

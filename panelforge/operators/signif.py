@@ -120,3 +120,12 @@ def significance_table(streams: DataFrame, market: DataFrame, n_boot: int = 2000
     out = out.withColumn("abs_t", F.abs("t_stat"))
     out = out.withColumn("active_p", 2 * (1 - normal_cdf("abs_t"))).withColumn("psr", normal_cdf("psr_z")).withColumn("dsr", normal_cdf("dsr_z"))
     return out.withColumn("significant_5pct", F.col("ci_low") > 0).drop("abs_t", "psr_z", "dsr_z")
+
+
+def head_to_head(streams: DataFrame, against: str, n_boot: int = 2000, rf_annual: float = RISK_FREE_ANNUAL) -> DataFrame:
+    """The bootstrap of the stream (name, date, ret) with the best Sharpe ratio against the stream ``against``, on their
+    common dates; ``against`` itself doesn't compete."""
+    sharpe = safe(F.avg("ret") - daily_rate(rf_annual), F.stddev_samp("ret"))
+    best = streams.where(F.col("name") != against).groupBy("name").agg(sharpe.alias("s")).orderBy(F.desc_nulls_last("s"), "name").limit(1).select("name")
+    other = streams.where(F.col("name") == against).select("date", F.col("ret").alias("bench"))
+    return bootstrap_sharpe_difference(streams.join(F.broadcast(best), "name").join(other, "date"), n_boot)

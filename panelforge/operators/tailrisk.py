@@ -96,16 +96,16 @@ def _xlogy(x: Column, y: Column) -> Column:
 
 
 def kupiec(n: Column, x: Column, p: float) -> Column:
-    """Likelihood ratio of ``x`` breaches in ``n`` days against probability ``p``."""
+    """Likelihood ratio of ``x`` breaches in ``n`` days against probability ``p``; NULL without days."""
     n, x = n.cast("double"), x.cast("double")
     share = x / F.nullif(n, F.lit(0.0))
     null = (n - x) * math.log(1 - p) + x * math.log(p)
     alt = _xlogy(n - x, 1 - share) + _xlogy(x, share)
-    return F.when(n == 0, F.lit(0.0)).otherwise(-2 * (null - alt))
+    return F.when(n > 0, -2 * (null - alt))
 
 
 def independence(n00: Column, n01: Column, n10: Column, n11: Column) -> Column:
-    """Likelihood ratio of first-order dependence; 0 where a state never occurs."""
+    """Likelihood ratio of first-order dependence; 0 where a state never occurs, NULL without a pair of days."""
     n00, n01, n10, n11 = (c.cast("double") for c in (n00, n01, n10, n11))
     p01, p11 = n01 / F.nullif(n00 + n01, F.lit(0.0)), n11 / F.nullif(n10 + n11, F.lit(0.0))
     pi = (n01 + n11) / F.nullif(n00 + n01 + n10 + n11, F.lit(0.0))
@@ -116,7 +116,7 @@ def independence(n00: Column, n01: Column, n10: Column, n11: Column) -> Column:
 
     ratio = -2 * (ll(n00 + n10, n01 + n11, pi) - ll(n00, n01, p01) - ll(n10, n11, p11))
     flat = (n00 + n01 == 0) | (n10 + n11 == 0) | (n01 + n11 == 0)
-    return F.when(flat, F.lit(0.0)).otherwise(F.greatest(F.lit(0.0), ratio))
+    return F.when(n00 + n01 + n10 + n11 == 0, None).when(flat, F.lit(0.0)).otherwise(F.greatest(F.lit(0.0), ratio))
 
 
 def evaluate(rows: DataFrame, confidence: float) -> DataFrame:
@@ -147,11 +147,11 @@ def with_p_values(table: DataFrame, level: float = 0.05) -> DataFrame:
 
     @F.pandas_udf("double")
     def chi2(x: pd.Series) -> pd.Series:
-        return x.map(lambda v: None if v != v else math.erfc(math.sqrt(max(v, 0.0) / 2)))
+        return x.map(lambda v: None if v is None or v != v else math.erfc(math.sqrt(max(v, 0.0) / 2)))
 
     joint = F.exp(-(F.col("kupiec_lr") + F.col("independence_lr")) / 2)
     out = table.withColumn("kupiec_p", chi2("kupiec_lr")).withColumn("christoffersen_p", chi2("independence_lr")).withColumn("cc_p", joint)
-    return out.withColumn("verdict", F.when(F.col("cc_p") > level, "PASS").otherwise("REJECT"))
+    return out.withColumn("verdict", F.when(F.col("cc_p") > level, "PASS").when(F.col("cc_p").isNotNull(), "REJECT"))
 
 
 def rolling_forecasts(streams: DataFrame, window: int = TRADING_DAYS, confidence: float = 0.95, method: str = "historical") -> DataFrame:

@@ -65,22 +65,20 @@ def _(spark, d):
     return _out(matrix.ewma_cov(B.crets(spark, d)))
 
 
-def _year(spark, d):
-    return B.crets(spark, d).where("date BETWEEN DATE '1997-01-01' AND DATE '1997-03-31'")
-
-
 @query("C6_condition_number")
 def _(spark, d):
     out = None
     for name, f in matrix.ESTIMATORS.items():
-        one = matrix.condition_number(f(_year(spark, d))).withColumn("estimator", F.lit(name))
+        one = matrix.condition_number(f(B.crets(spark, d))).withColumn("estimator", F.lit(name))
         out = one if out is None else out.unionByName(one)
     return out
 
 
-@query("C7_nearest_psd")
+#: A covariance without negative eigenvalues is its own nearest one.
+@query("C7_nearest_psd", LW + " SELECT x.ticker AS a, y.ticker AS b, round(covar_samp(x.ret, y.ret) * 252, 6) AS value FROM lw x JOIN lw y USING (date) GROUP BY 1, 2")
 def _(spark, d):
-    return matrix.nearest_psd(matrix.sample_cov(_year(spark, d)))
+    whole = matrix.listwise(B.crets(spark, d))
+    return _out(matrix.nearest_psd(matrix.sample_cov(whole)))
 
 
 _VOL = ", fv AS (SELECT ticker, stddev_samp(ret) * sqrt(252::double) * 1.1 AS vol FROM crets WHERE ticker <> 'Brand#3' GROUP BY 1), ow AS (SELECT ticker, stddev_samp(ret) * sqrt(252::double) AS own FROM crets GROUP BY 1), vv AS (SELECT ticker, greatest(coalesce(vol, own), 1e-4) AS v FROM ow LEFT JOIN fv USING (ticker))"

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..constants import daily_rate
 from ..operators import forecast, frames, legacy, matrix, panel, perf, rolling, signif, tailrisk
 from ..operators.panel import r6
+from ..operators.stage import staged
 from ..sources import bridge as B
 from . import q_panel, q_risk, q_rolling, q_walk
 from .registry import query
@@ -20,7 +21,7 @@ def _pairs(spark, d):
 
 @query("T1_T2_bootstrap_sharpe")
 def _(spark, d):
-    return signif.bootstrap_sharpe_difference(_pairs(spark, d).where("name IN ('Brand#1', 'Brand#2', 'Brand#3')"), n_boot=400)
+    return signif.bootstrap_sharpe_difference(_pairs(spark, d))
 
 
 def _psr(limit: str) -> str:
@@ -52,15 +53,17 @@ def _(spark, d):
 
 @query("T6_significance_table")
 def _(spark, d):
-    s = q_risk.streams(spark, d).where("name IN ('Brand#1', 'Brand#2', 'Brand#3', 'Brand#4')")
-    return signif.significance_table(s, B.mkt(spark, d), n_boot=200)
+    return signif.significance_table(q_risk.streams(spark, d), B.mkt(spark, d))
 
 
 @query("T7_head_to_head")
 def _(spark, d):
-    best = q_risk.sheet(spark, d).orderBy(F.desc("sharpe"), "name").limit(1).select("name")
-    rows = q_risk.streams(spark, d).join(F.broadcast(best), "name")
-    return signif.bootstrap_sharpe_difference(rows.join(B.mkt(spark, d).select("date", F.col("ret").alias("bench")), "date"), n_boot=400)
+    """The best strategy by Sharpe ratio against equal weights, net of costs."""
+    out = None
+    for name in q_walk.RAW:
+        one = q_walk.run(spark, d, name).daily.select(F.lit(name).alias("name"), "date", F.col("net").alias("ret"))
+        out = one if out is None else out.unionByName(one)
+    return signif.head_to_head(staged(out, "strategies"), "equal_weight")
 
 
 # Forecasts: features of the dense panel at all dates serve as predictions.
@@ -88,15 +91,27 @@ def _(spark, d):
 
 @query("F5_garch")
 def _(spark, d):
-    r = B.crets(spark, d).where("ticker IN ('Brand#1', 'Brand#2')")
-    points = B.mkt(spark, d).where("date IN (DATE '1998-06-30', DATE '1999-06-30')").select("date")
-    return forecast.garch_forecasts(r, points)
+    points = B.mkt(spark, d).groupBy(F.year("date"), F.floor(F.month("date") / 6.5)).agg(F.max("date").alias("date")).select("date")
+    return forecast.garch_forecasts(B.crets(spark, d), points)
+
+
+_NAMES = [c for c in q_rolling.FEATURES if c != "fwd_vol_21"]
 
 
 @query("F6_boosted_walk_forward")
 def _(spark, d):
-    names = [c for c in q_rolling.FEATURES if c != "fwd_vol_21"]
-    return forecast.walk_forward_predict(q_rolling.features(spark, d), names, start_year=1999, min_train=200)
+    return forecast.walk_forward_predict(q_rolling.features(spark, d), _NAMES, start_year=1999, min_train=200)
+
+
+@query("O5f_feature_gains")
+def _(spark, d):
+    _, gains = forecast.walk_forward(q_rolling.features(spark, d), _NAMES, start_year=1999, min_train=200)
+    return frames.top_features(forecast.mean_gains(gains))
+
+
+@query("F4_baselines", f"{_PRED} SELECT date, ticker, round(rv_21, 6) AS random_walk, round(ewma_94, 6) AS ewma, round(0.5 * rv_21 + 0.5 * coalesce(rv_252, rv_63), 6) AS hybrid FROM preds")
+def _(spark, d):
+    return _preds(spark, d).select("date", "ticker", *(r6(c).alias(k) for k, c in forecast.baselines().items()))
 
 
 @query("F7_evaluation", f"{_PRED}{_STACK}, s AS (SELECT model, {_SCORES} FROM st GROUP BY model), b AS (SELECT rmse AS r0, qlike AS q0 FROM s WHERE model = 'ewma_94') SELECT model, n, {', '.join(f'round({c}, 6) AS {c}' for c in _FOUR)}, round((rmse / r0 - 1) * 100, 6) AS rmse_vs_reference, round((qlike / q0 - 1) * 100, 6) AS qlike_vs_reference FROM s, b")
@@ -124,6 +139,20 @@ def _(spark, d):
     return forecast.yearly_scores(_preds(spark, d), _MODELS).select("year", "model", "n", *(r6(c).alias(c) for c in _FOUR))
 
 
+def _dm_sql(other: str, loss: str) -> str:
+    cost = lambda c: f"actual * actual / ({c} * {c}) - ln(actual * actual / ({c} * {c}))" if loss == "qlike" else f"pow(actual - {c}, 2)"
+    return f"SELECT '{other} {loss}' AS name, ticker, date, {cost('rv_21')} - ({cost(other)}) AS x FROM preds"
+
+
+_DMS = [(o, k) for o in ("ewma_94", "rv_63", "rv_252") for k in ("qlike", "mse")]
+
+
+@query("F11_dm_table", _PRED + _hac(" UNION ALL ".join(f"SELECT * FROM ({_dm_sql(*x)}) WHERE x IS NOT NULL" for x in _DMS), 21, "dm") + " SELECT 'rv_21 vs ' || split_part(name, ' ', 1) AS comparison, upper(split_part(name, ' ', 2)) AS loss, round(t, 5) AS stat, n, CASE WHEN abs(t) <= 1.959963984540054::double THEN 'no significant difference' WHEN t < 0 THEN 'first better' ELSE 'second better' END AS verdict FROM dm")
+def _(spark, d):
+    preds = staged(_preds(spark, d), "preds")
+    return forecast.dm_table(preds, "rv_21", ["ewma_94", "rv_63", "rv_252"]).select("comparison", "loss", F.round("stat", 5).alias("stat"), "n", "verdict")
+
+
 @query("F11_verdicts", "SELECT * FROM (VALUES (1.5, 0.2, 'no significant difference'), (-3.0, 0.01, 'first better'), (3.0, 0.01, 'second better')) t(stat0, p0, verdict)".replace("stat0, p0", "stat, p").replace("SELECT *", "SELECT stat::double AS stat, p::double AS p, verdict"))
 def _(spark, d):
     t = spark.createDataFrame([(1.5, 0.2), (-3.0, 0.01), (3.0, 0.01)], "stat double, p double")
@@ -232,7 +261,16 @@ def _(spark, d):
     return legacy.split_by_date(B.rets(spark, d), "1998-12-31", "1999-12-31").groupBy("part").agg(F.count("*").alias("n"))
 
 
-@query("N6_monthly_walk")
+_N6 = f"""{_N1}, ao AS (SELECT DISTINCT month_end AS as_of FROM mr)
+, wn AS (SELECT as_of, ticker, ret FROM ao JOIN mr ON month_end < as_of AND month_end > cast(as_of - interval 37 month as date))
+, ws AS (SELECT as_of, ticker, count(ret) AS n, avg(ret) / nullif(stddev_samp(ret), 0) AS s, stddev_samp(ret) AS v FROM wn GROUP BY 1, 2)
+, fu AS (SELECT as_of FROM ws GROUP BY 1 HAVING count(*) FILTER (n >= 36) = (SELECT count(DISTINCT ticker) FROM mr))
+, sc AS (SELECT as_of, ticker, (coalesce((s - min(s) OVER g) / nullif(max(s) OVER g - min(s) OVER g, 0), 0) + coalesce(1 - (v - min(v) OVER g) / nullif(max(v) OVER g - min(v) OVER g, 0), 0)) / 2 AS score FROM ws JOIN fu USING (as_of) WINDOW g AS (PARTITION BY as_of))
+, wt AS (SELECT as_of, ticker, score / nullif(sum(score) OVER (PARTITION BY as_of), 0) AS weight FROM sc)
+"""
+
+
+@query("N6_monthly_walk", f"{_N6} SELECT as_of AS month_end, round(sum(weight * ret), 6) AS ret FROM wt JOIN mr ON mr.month_end = as_of AND mr.ticker = wt.ticker GROUP BY 1")
 def _(spark, d):
     return legacy.monthly_walk(_mr(spark, d)).select("month_end", r6("ret").alias("ret"))
 

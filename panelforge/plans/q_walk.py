@@ -247,7 +247,26 @@ def _(spark, d):
     return walk.buy_and_hold(B.mkt(spark, d), run(spark, d, "equal_weight").daily).select("date", r6("ret").alias("ret"))
 
 
-@query("B11_common_window", ", s AS (SELECT ticker AS name, date, ret FROM rets WHERE ticker <= 'Brand#11') SELECT name, date, round(ret, 6) AS ret FROM s WHERE date IN (SELECT date FROM s GROUP BY date HAVING count(DISTINCT name) = (SELECT count(DISTINCT name) FROM s))")
+@query("B11_common_window", ", s AS (SELECT ticker AS name, date, ret FROM crets WHERE ret IS NOT NULL) SELECT name, date, round(ret, 6) AS ret FROM s WHERE date IN (SELECT date FROM s GROUP BY date HAVING count(DISTINCT name) = (SELECT count(DISTINCT name) FROM s))")
 def _(spark, d):
-    s = B.rets(spark, d).where("ticker <= 'Brand#11'").withColumnRenamed("ticker", "name")
+    s = B.crets(spark, d).where("ret IS NOT NULL").withColumnRenamed("ticker", "name")
     return panel.common_dates(s).select("name", "date", r6("ret").alias("ret"))
+
+
+def _variant(key: str, name: str, forecasts: bool = False, **kw) -> None:
+    @query(f"B7_{key}")
+    def _(spark, d):
+        from dataclasses import replace
+
+        from . import q_rolling
+
+        vols = q_rolling.features(spark, d).select("date", "ticker", F.col("ewma_94").alias("vol")) if forecasts else None
+        result = walk.run_backtest(B.crets(spark, d), B.mkt(spark, d), B.sector(spark, d), replace(CONFIG, allocator=name, **kw), vols)
+        return result.daily.select("date", r6("net").alias("net"), r6("gross").alias("gross"))
+
+
+_variant("min_variance_sample", "min_variance", cov_estimator="sample")
+_variant("min_variance_forecast", "min_variance", forecasts=True)
+_variant("risk_parity_forecast", "risk_parity", forecasts=True)
+for _name in PROFILES:
+    _variant(f"profile_{_name}", "score_based", profile=PROFILES[_name])
