@@ -7,16 +7,22 @@ more than one child on average, others seldom. Only tree nodes that hold documen
 
 1. First pass: in a few trees each node's smallest document is compared with the node's others (as many pairs as rows), so
    groups of copies, whatever their size, join up.
-2. Second pass, all trees: in open nodes of up to ``NODE`` documents, sketches of all pairs across components are compared;
-   larger open nodes compare their smallest document with the others and branch by one more token, until none is left.
+2. Second pass, all trees: open nodes of up to ``NODE`` documents are small, sketches of all pairs across their components are
+   compared. Larger ones branch on by one more token, but for what is near their smallest document, the *hub*: documents
+   more similar to it than ``CORE`` leave the node, as everything linked to them is near the hub too (1 - similarity is a
+   metric). The hub with all that is more similar to it than ``RIM`` is a *ball*; balls of one hub from all trees are one.
+3. In balls with two components or more, full sets of core documents are compared with those of all others, in chunks of
+   ``CHUNK_BYTES`` and by counting common shingles as a matrix product. A chunk gives out a spanning forest of its links.
 
 Candidates pass a size test and an estimate from 8-bit sketches (``SLACK`` deviations below the threshold), and are
-confirmed on full shingle sets. Pairs are never made within a component, so rows stay in proportion to documents.
+confirmed on full shingle sets. Pairs are never made within a component, and a group of documents that are near to each
+other but not linked makes no pairs either, so rows stay in proportion to documents.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -33,10 +39,15 @@ TREES, FIRST_TREES = 16, 4
 #: Below the similarity of a link, so that a linked pair's shared paths multiply.
 SPLIT = 0.6
 #: A tree node with more documents branches on.
-NODE = 1000
+NODE = 100
+#: Similarities to a hub (estimated): of documents that leave its node, and of those that these can be linked to. Of the
+#: similarities' complements 1 - RIM is more than 1 - CORE and 1 - PERCENT / 100 together.
+CORE, RIM = 0.66, 0.38
+#: Bytes of shingle sets that are compared with as many at once; shingles counted at once.
+CHUNK_BYTES, COLUMNS = 4_000_000, 4096
 SLACK = 4.5
-#: Branching beyond this depth ends with comparing every component's smallest document with all others.
-MAX_DEPTH = 24
+#: A node that is still large at this depth becomes a ball as a whole.
+MAX_DEPTH = 8
 #: Ids that are broadcast to pick texts out of a scan; a larger set is joined by shuffle.
 BROADCAST_IDS = 2_000_000
 GROUP_BYTES = 4_000_000
@@ -137,8 +148,8 @@ def _branch(rows: DataFrame, trees: range | None = None) -> DataFrame:
     return rows.select(*columns).mapInArrow(common.lean(run), "path long, key long, n long")
 
 
-def _alike(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
-    """The pairs (a, b) whose sketches don't rule a link out."""
+def _alike(pairs: DataFrame, nodes: DataFrame, least: float | None = None) -> DataFrame:
+    """The pairs (a, b) whose sketches don't rule a link out, or agree in a share of ``least``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -146,7 +157,7 @@ def _alike(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
             same = ((x == y) & (x > 0)).sum(1)
             either = ((x > 0) | (y > 0)).sum(1)
             share = PERCENT / 100
-            good = same >= either * share - SLACK * np.sqrt(either * share * (1 - share))
+            good = same >= (either * share - SLACK * np.sqrt(either * share * (1 - share)) if least is None else either * least)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(same * 1000 // np.maximum(either, 1), pa.int64())], ["a", "b", "alike"]).filter(pa.array(good))
 
     bits = nodes.select("key", "bits")
@@ -205,19 +216,7 @@ def _node(batches: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _confirmed(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, words: int) -> DataFrame:
     """The pairs (a, b) that are linked on their full shingle sets, computed from the texts of the documents in question."""
     keys = common.written(pairs.select(F.col("a").alias("key")).unionByName(pairs.select(F.col("b").alias("key"))).distinct().join(nodes.select("key", "doc_id"), "key"), "wanted")
-    wanted = keys.select("doc_id").distinct()
-    wanted = F.broadcast(wanted) if keys.count() <= BROADCAST_IDS else wanted
-    texts = common.id_and_text(docs).join(wanted, "doc_id", "left_semi")
-
-    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import xxhash
-
-        for batch in (x for b in batches for x in common.slices(b)):
-            found = [s.tobytes() for s in shingle_sets(batch.column(1), words)]
-            yield pa.RecordBatch.from_arrays([pa.array([xxhash.xxh3_64_intdigest(s) - (1 << 63) for s in found], pa.int64()), pa.array(found, pa.binary())], ["key", "shingles"])
-
-    full = texts.mapInArrow(common.lean(sets), "key long, shingles binary").join(keys.select("key"), "key", "left_semi").dropDuplicates(["key"])
-    full = common.written(full, "sets")
+    full = _sets(keys, docs, words)
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -251,6 +250,116 @@ def _stars(rows: DataFrame) -> DataFrame:
     return pairs.select(F.least("key", "hub.key").alias("a"), F.greatest("key", "hub.key").alias("b"))
 
 
+def _hubs(rows: DataFrame) -> DataFrame:
+    return rows.groupBy("path").agg(F.min(F.struct("key", "n")).alias("hub"))
+
+
+def _ball(rows: DataFrame, nodes: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """``hub, key, core`` of the documents near the hubs of these tree nodes, and the rows that stay in the nodes."""
+    marked = common.written(rows.select("path", "key", "n").join(_hubs(rows), "path").select("path", "key", "n", "hub"), "hubs")
+    stars = marked.where((F.col("key") != F.col("hub.key")) & (F.least("n", "hub.n") >= F.greatest("n", "hub.n") * RIM))
+    near = _alike(stars.select(F.col("hub.key").alias("a"), F.col("key").alias("b")).distinct(), nodes, RIM)
+    near = common.written(near.select(F.col("a").alias("hub"), F.col("b").alias("key"), (F.col("alike") >= 1000 * CORE).alias("core")), "ball")
+    gone = near.where("core").select("hub", "key")
+    left = marked.where(F.col("key") != F.col("hub.key")).select("path", "key", "n", F.col("hub.key").alias("hub")).join(gone, ["hub", "key"], "left_anti")
+    return near, left.select("path", "key", "n")
+
+
+def _sets(keys: DataFrame, docs: DataFrame, words: int) -> DataFrame:
+    """``key, shingles`` of the nodes ``keys`` (key, doc_id; written), from their documents' texts."""
+    wanted = keys.select("doc_id").distinct()
+    wanted = F.broadcast(wanted) if keys.count() <= BROADCAST_IDS else wanted
+    texts = common.id_and_text(docs).join(wanted, "doc_id", "left_semi")
+
+    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import xxhash
+
+        for batch in (x for b in batches for x in common.slices(b)):
+            found = [s.tobytes() for s in shingle_sets(batch.column(1), words)]
+            yield pa.RecordBatch.from_arrays([pa.array([xxhash.xxh3_64_intdigest(s) - (1 << 63) for s in found], pa.int64()), pa.array(found, pa.binary())], ["key", "shingles"])
+
+    full = texts.mapInArrow(common.lean(sets), "key long, shingles binary").join(keys.select("key").distinct(), "key", "left_semi")
+    return common.written(full.dropDuplicates(["key"]), "sets")
+
+
+def _linked_in_balls(balls: DataFrame, roots: DataFrame, nodes: DataFrame, docs: DataFrame, words: int) -> DataFrame:
+    """Links (a, b) that join up what is linked within balls (hub, key, core): core documents against all, on full sets."""
+    members = balls.unionByName(balls.select("hub", F.col("hub").alias("key"), F.lit(True).alias("core"))).groupBy("hub", "key").agg(F.max("core").alias("core"))
+    members = _labelled(members.join(nodes.select("key", "n", "doc_id"), "key"), roots)
+    mixed = members.groupBy("hub").agg(F.sum("n").alias("total"), F.min("part").alias("lo"), F.max("part").alias("hi")).where("lo <> hi")
+    chunks = F.ceil(F.col("total") * 8 / CHUNK_BYTES).cast("int").alias("chunks")
+    members = common.written(members.join(mixed.select("hub", chunks), "hub"), "members")
+    full = _sets(members.select("key", "doc_id").distinct(), docs, words)
+    own, every = F.pmod(F.hash("key"), F.col("chunks")), F.sequence(F.lit(0), F.col("chunks") - 1)
+    left = members.where("core").select("hub", own.alias("x"), F.explode(every).alias("y"), "key", "part", F.lit(True).alias("first"))
+    right = members.select("hub", F.explode(every).alias("x"), own.alias("y"), "key", "part", F.lit(False).alias("first"))
+    rows = left.unionByName(right).join(full, "key").select("hub", "x", "y", "first", "key", "part", "shingles")
+    together = rows.repartition(common.partitions(docs.sparkSession), "hub", "x", "y").sortWithinPartitions("hub", "x", "y")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        name = None
+        for batch in batches:
+            names = np.stack([batch.column(k).to_numpy().astype(np.int64) for k in range(3)], 1)
+            cuts = np.flatnonzero((names[1:] != names[:-1]).any(1)) + 1
+            for lo, hi in zip([0, *cuts], [*cuts, len(names)], strict=True):
+                if hi > lo:
+                    if held and tuple(names[lo]) != name:
+                        yield _forest(held)
+                        held = []
+                    name = tuple(names[lo])
+                    held.append(batch.slice(lo, hi - lo))
+        if held:
+            yield _forest(held)
+
+    out = common.written(together.mapInArrow(common.lean(run), "a long, b long"), "linked")
+    common.dropped(full, members)
+    return out
+
+
+def _forest(batches: list[pa.RecordBatch]) -> pa.RecordBatch:
+    """A spanning forest of the links between the first and the other documents of a pair of chunks."""
+    first = np.concatenate([b.column(3).to_numpy(zero_copy_only=False) for b in batches]).astype(bool)
+    key, part = (np.concatenate([b.column(k).to_numpy() for b in batches]) for k in (4, 5))
+    sets = [np.frombuffer(x, np.uint64) for b in batches for x in b.column(6).to_pylist()]
+    sides = [np.flatnonzero(first), np.flatnonzero(~first)]
+    a, b = [], []
+    if all(len(x) for x in sides):
+        size = [np.array([len(sets[i]) for i in side]) for side in sides]
+        flat = [np.concatenate([sets[i] for i in side]) for side in sides]
+        owner = [np.repeat(np.arange(len(side)), n) for side, n in zip(sides, size, strict=True)]
+        shared = np.intersect1d(flat[0], flat[1])
+        where = [np.searchsorted(shared, x) for x in flat]
+        real = [shared[np.minimum(w, len(shared) - 1)] == x if len(shared) else np.zeros(len(x), bool) for w, x in zip(where, flat, strict=True)]
+        both = np.zeros((len(sides[0]), len(sides[1])), np.float32)
+        for at in range(0, len(shared), COLUMNS):
+            tables = []
+            for w, ok, who, side in zip(where, real, owner, sides, strict=True):
+                some = np.flatnonzero(ok & (w >= at) & (w < at + COLUMNS))
+                table = np.zeros((len(side), min(COLUMNS, len(shared) - at)), np.float32)
+                table[who[some], w[some] - at] = 1
+                tables.append(table)
+            both += tables[0] @ tables[1].T
+        good = (100 + PERCENT) * both >= PERCENT * (size[0][:, None] + size[1][None, :])
+        good &= part[sides[0]][:, None] != part[sides[1]][None, :]
+        root: dict[int, int] = {}
+
+        def find(x: int) -> int:
+            while root.get(x, x) != x:
+                root[x] = root.get(root[x], root[x])
+                x = root[x]
+            return x
+
+        for i, j in zip(*np.nonzero(good), strict=True):
+            s, t = int(sides[0][i]), int(sides[1][j])
+            p, q = find(int(part[s])), find(int(part[t]))
+            if p != q:
+                root[p] = q
+                a.append(int(key[s]))
+                b.append(int(key[t]))
+    return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+
+
 def _best(pairs: DataFrame) -> DataFrame:
     """For each larger document the likeliest of its pairs: enough to join a group up, at most one for each document."""
     return pairs.groupBy("b").agg(F.max_by("a", F.struct("alike", "a")).alias("a")).select("a", "b")
@@ -283,31 +392,28 @@ def near_duplicates(docs: DataFrame, words: int = 5) -> DataFrame:
     pending = [found]
 
     level = common.written(_branch(nodes, range(TREES)), "level")
-    depth = 1
-    while True:
+    balls = []
+    for depth in range(1, MAX_DEPTH + 1):
         rows = _labelled(level, roots)
         open_ = rows.groupBy("path").agg(F.count("*").alias("members"), F.min("part").alias("lo"), F.max("part").alias("hi")).where("lo <> hi")
         rows = common.written(rows.join(open_.select("path", "members"), "path"), "open")
         small, large = rows.where(F.col("members") <= NODE), rows.where(F.col("members") > NODE)
-        near = _compared(small, nodes)
-        more = large.limit(1).count() > 0
-        pairs = _stars(large.drop("members")) if more and depth > 2 else None
-        if more and depth >= MAX_DEPTH:
-            heads = large.groupBy("path", "part").agg(F.min(F.struct("key", "n")).alias("head"))
-            ends = large.join(heads.withColumnRenamed("part", "other"), "path").where((F.col("part") != F.col("other")) & _sized("n", "head.n"))
-            pairs = pairs.unionByName(ends.select(F.least("key", "head.key").alias("a"), F.greatest("key", "head.key").alias("b")))
-            more = False
-        near = near.unionByName(_alike(pairs.distinct(), nodes)) if pairs is not None else near
-        pending.append(common.written(near.distinct(), "pairs"))
+        pending.append(common.written(_compared(small, nodes).distinct(), "pairs"))
         common.dropped(level)
-        if more and depth > 2:
-            links, roots, pending = _settle(links, roots, pending, nodes, docs, words)
-        if not more:
+        if not large.limit(1).count():
             break
-        level = common.written(_branch(large.join(nodes.select("key", "tokens"), "key")), "level")
+        if depth == MAX_DEPTH:
+            whole = large.join(_hubs(large), "path").select(F.col("hub.key").alias("hub"), "key", F.lit(True).alias("core"))
+            balls.append(common.written(whole.distinct(), "ball"))
+            break
+        near, left = _ball(large, nodes)
+        balls.append(near)
+        level = common.written(_branch(left.join(nodes.select("key", "tokens"), "key")), "level")
         common.dropped(rows)
-        depth += 1
     links, roots, _ = _settle(links, roots, pending, nodes, docs, words, every=True)
+    if balls:
+        links.append(_linked_in_balls(reduce(DataFrame.unionByName, balls), roots, nodes, docs, words))
+        roots = _roots(links)
 
     named = _labelled(nodes.select("key", "doc_id"), roots)
     smallest = named.groupBy("part").agg(F.min("doc_id").alias("component_id"))

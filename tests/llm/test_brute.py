@@ -180,3 +180,42 @@ def test_crc_fold_is_the_crc_of_the_id_as_text(spark):
 
     rows = spark.createDataFrame([(k,) for k in (0, 7, 123456789)], "doc_id long").select("doc_id", common.crc_fold("doc_id", 4).alias("f")).collect()
     assert all(r["f"] == zlib.crc32(str(r["doc_id"]).encode()) % 4 for r in rows)
+
+
+def test_a_crowd_of_near_copies_matches_brute_force(spark):
+    """Two crowds around the threshold, each larger than a node of the trees, and a passage that unlike texts share."""
+    rng = random.Random(41)
+    rows, passage = [], sentence(rng, 60)
+    for crowd in range(2):
+        base = sentence(rng, 120).split()
+        for k in range(170):
+            copy = list(base)
+            for at in rng.sample(range(120), rng.choice([2, 3, 4, 5])):
+                copy[at] = letters(rng, 8)
+            rows.append((crowd * 1000 + k, " ".join(copy)))
+    rows += [(5000 + k, f"{passage} {sentence(rng, rng.randint(4, 40))}") for k in range(150)]
+    sets = []
+    for _, text in rows:
+        w = text.split()
+        sets.append({tuple(w[i : i + 4]) for i in range(len(w) - 3)})
+    part = list(range(len(rows)))
+
+    def find(x):
+        while part[x] != x:
+            x = part[x]
+        return x
+
+    links = 0
+    for i, a in enumerate(sets):
+        for j in range(i):
+            if 100 * len(a & sets[j]) >= 80 * len(a | sets[j]):
+                links += 1
+                part[find(i)] = find(j)
+    expect = {}
+    for i, (doc, _) in enumerate(rows):
+        expect.setdefault(find(i), []).append(doc)
+    smallest = {d: min(group) for group in expect.values() for d in group}
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    got = {r["doc_id"]: r["component_id"] for r in chosen_path.near_duplicates(docs, 4).collect()}
+    assert links > 200 and len(expect) > 100
+    assert got == smallest
