@@ -50,7 +50,7 @@ SLACK = 4.5
 MAX_DEPTH = 8
 #: Ids that are broadcast to pick texts out of a scan; a larger set is joined by shuffle.
 BROADCAST_IDS = 2_000_000
-GROUP_BYTES = 4_000_000
+GROUP_BYTES = 1_000_000
 
 _K = np.uint64(0x9E3779B97F4A7C15)
 

@@ -69,8 +69,21 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+#: Bytes of an Arrow batch that holds texts, about.
+BATCH_BYTES = 4 << 20
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Bound the bytes of Arrow batches, not only their rows: both the executor's JVM and its worker hold copies of a batch
+    outside of the heap. A lower bound that the session already has stays."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if int(spark.conf.get(key).lower().rstrip("b") or 0) > BATCH_BYTES:
+        spark.conf.set(key, str(BATCH_BYTES))
+
+
 def id_and_text(docs: DataFrame, *, null_text: str | None = "") -> DataFrame:
     """Only ``doc_id`` (long) and ``text`` (string): other columns, whatever their names, can't clash afterwards."""
+    small_batches(docs.sparkSession)
     text = F.col("text").cast("string")
     if null_text is not None:
         text = F.coalesce(text, F.lit(null_text))
@@ -122,7 +135,7 @@ def lean(run):
     return wrapped
 
 
-def slices(batch, column: int = 1, most: int = 4_000_000):
+def slices(batch, column: int = 1, most: int = 1_000_000):
     """A record batch in pieces with about ``most`` bytes in one column (a longer value stands alone)."""
     sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)
     upto, a = np.cumsum(sizes, dtype=np.int64), 0

@@ -129,6 +129,7 @@ def train(docs: DataFrame, train_docs: int = TRAIN_DOCS) -> Model:
     Languages come from all rows. Each is fitted on about ``train_docs`` / languages of its documents, chosen by a hash of
     id and text wherever they stand, or on all of them if it has fewer. Their n-grams are counted once.
     """
+    common.small_batches(docs.sparkSession)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text"))
     rows = rows.where(F.col("lang").isNotNull() & F.col("text").isNotNull())
     sizes = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).limit(MAX_CELLS // BUCKETS + 1).collect()}

@@ -27,7 +27,7 @@ EPOCHS, ALPHA, BETA, L1, L2 = 2, 0.5, 1.0, 0.001, 0.01
 #: Values are shares times this.
 SCALE = 20.0
 #: Words scored at once, about.
-GROUP_BYTES = 1_500_000
+GROUP_BYTES = 750_000
 
 _RUNS = re.compile(r"([^\W\d_]+)|(\d+)|(.)\3*", re.S)
 
@@ -160,6 +160,7 @@ def keep_accepted(docs: DataFrame, weights: np.ndarray) -> DataFrame:
     Only texts go to Python, in small batches. A null or empty text scores by the bias alone; repeated rows get one verdict;
     an empty table gives an empty one.
     """
+    common.small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(weights)
 
     def scored(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:

@@ -22,7 +22,7 @@ from . import common
 #: Chunks remembered by a worker, at most.
 CACHE_CHUNKS = 600_000
 #: Bytes of text whose chunks are held at once (one longer text is held alone).
-GROUP_BYTES = 3_000_000
+GROUP_BYTES = 1_000_000
 
 #: White space beyond ASCII, and controls that only some functions take as white space.
 _ODD = r"\x{1c}-\x{1f}\x{85}\x{a0}\x{1680}\x{180e}\x{2000}-\x{200b}\x{2028}\x{2029}\x{202f}\x{205f}\x{2060}\x{3000}\x{feff}"
