@@ -31,9 +31,9 @@ LEAST = 24
 #: Benchmark text (bytes) that is indexed and broadcast at once; a larger benchmark is scanned in blocks.
 BLOCK_BYTES = 16_000_000
 #: Characters of text that are scanned at once (a longer text alone).
-GROUP = 1 << 20
+GROUP = 1 << 18
 #: Cells of the alignments that are made at once.
-CELLS = 1 << 21
+CELLS = 1 << 19
 
 _HASH_BITS = 22
 _K = np.uint64(0x9E3779B97F4A7C15)
