@@ -53,8 +53,10 @@ def monthly_walk(monthly: DataFrame, months: int = 36) -> DataFrame:
     """``month_end, ret``: each month the mean-over-deviation weights of the ``months`` before it; a month is skipped if any
     ticker lacks a return in its window."""
     ends = monthly.select(F.col("month_end").alias("as_of")).distinct()
+    number = lambda c: F.year(c) * 12 + F.month(c)
+    reach = ends.select("as_of", F.explode(F.sequence(number("as_of") - months - 1, number("as_of"))).alias("number"))
     near = (F.col("month_end") < F.col("as_of")) & (F.col("month_end") > F.add_months("as_of", -months - 1))
-    rows = monthly.join(F.broadcast(ends), near)
+    rows = monthly.withColumn("number", number("month_end")).join(F.broadcast(reach), "number").where(near).drop("number")
     stats = rows.groupBy("as_of", "ticker").agg(F.count("ret").alias("n"), safe(F.avg("ret"), F.stddev_samp("ret")).alias("sharpe"), F.stddev_samp("ret").alias("vol"))
     names = monthly.select("ticker").distinct().count()
     full = stats.groupBy("as_of").agg(F.count_if(F.col("n") >= months).alias("full")).where(F.col("full") == names)

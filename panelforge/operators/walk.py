@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..constants import COST_BPS, HOLD_MONTHS, PROFILES, TRADING_DAYS, TRAIN_MONTHS, RiskProfile
@@ -47,6 +47,11 @@ class BacktestResult:
         return self.daily.agg((grown("gross") - grown("net")).alias("cost_drag"))
 
 
+def months(c: str) -> Column:
+    """The number of a date's month."""
+    return F.year(c) * 12 + F.month(c)
+
+
 def rebalance_dates(calendar: DataFrame, train_months: int = TRAIN_MONTHS, hold_months: int = HOLD_MONTHS) -> DataFrame:
     """``as_of, next_date``: the last date of each bin of months that leaves room to train and to hold.
 
@@ -54,7 +59,6 @@ def rebalance_dates(calendar: DataFrame, train_months: int = TRAIN_MONTHS, hold_
     next rebalance, or the calendar's end.
     """
     ends = calendar.agg(F.min("date").alias("first"), F.max("date").alias("last"))
-    months = lambda c: F.year(c) * 12 + F.month(c)
     rows = calendar.select("date").distinct().crossJoin(F.broadcast(ends))
     bins = rows.groupBy("first", "last", F.ceil((months("date") - months("first")) / hold_months).alias("bin")).agg(F.max("date").alias("as_of"))
     good = bins.where((F.col("as_of") >= F.add_months("first", train_months)) & (F.col("as_of") < F.col("last")))
@@ -65,10 +69,11 @@ def rebalance_dates(calendar: DataFrame, train_months: int = TRAIN_MONTHS, hold_
 def training_windows(returns: DataFrame, market: DataFrame, dates: DataFrame, train_months: int = TRAIN_MONTHS, coverage: float = 0.9) -> DataFrame:
     """``as_of, ticker, date, ret, mkt``: the months before each rebalance (its own day included), well-covered tickers only.
 
-    A few rebalance dates are broadcast against the returns.
+    A return meets, by the number of its month, only the rebalances whose window reaches into it.
     """
     near = (F.col("date") > F.add_months("as_of", -train_months)) & (F.col("date") <= F.col("as_of"))
-    rows = returns.select("ticker", "date", "ret").join(F.broadcast(dates.select("as_of")), near)
+    reach = dates.select("as_of", F.explode(F.sequence(months("as_of") - train_months, months("as_of"))).alias("month"))
+    rows = returns.select("ticker", "date", "ret", months("date").alias("month")).join(F.broadcast(reach), "month").where(near).drop("month")
     rows = covered(rows, coverage, ["as_of"])
     return rows.join(market.select("date", F.col("ret").alias("mkt")), "date", "left")
 
@@ -89,9 +94,12 @@ def choose(train: DataFrame, sectors: DataFrame, config: BacktestConfig) -> Data
 
 
 def holding_values(weights: DataFrame, returns: DataFrame, dates: DataFrame) -> DataFrame:
-    """``as_of, ticker, date, weight, value`` of each holding over its period; a missing return leaves the value."""
-    held = weights.join(F.broadcast(dates), "as_of")
-    rows = held.join(returns.select("ticker", "date", "ret"), "ticker").where("date > as_of AND date <= next_date")
+    """``as_of, ticker, date, weight, value`` of each holding over its period; a missing return leaves the value.
+
+    Periods don't overlap, so a date has one rebalance at most and holdings join on (rebalance, ticker).
+    """
+    days = dates.select("as_of", F.explode(F.sequence(F.date_add("as_of", 1), F.col("next_date"))).alias("date"))
+    rows = returns.select("ticker", "date", "ret").join(F.broadcast(days), "date").join(weights.select("as_of", "ticker", "weight"), ["as_of", "ticker"])
     w = Window.partitionBy("as_of", "ticker").orderBy("date").rowsBetween(Window.unboundedPreceding, 0)
     return rows.select("as_of", "ticker", "date", "weight", (F.col("weight") * F.product(1 + F.coalesce("ret", F.lit(0.0))).over(w)).alias("value"))
 
@@ -130,10 +138,18 @@ def book_costs(periods: DataFrame, costs: DataFrame) -> DataFrame:
 
 
 def as_of_values(facts: DataFrame, calendar: DataFrame, dates: DataFrame, value: str = "vol") -> DataFrame:
-    """``as_of, ticker, value``: each ticker's last ``value`` on a calendar date up to the rebalance."""
-    known = facts.where(F.col(value).isNotNull()).join(calendar.select("date").distinct(), "date", "left_semi")
-    near = known.join(F.broadcast(dates.select("as_of")), F.col("date") <= F.col("as_of"))
-    return near.groupBy("as_of", "ticker").agg(F.max_by(value, "date").alias(value))
+    """``as_of, ticker, value``: each ticker's last ``value`` on a calendar date up to the rebalance.
+
+    A fact goes to the first rebalance from its date on, where the last one stays; those few carry on to the rebalances
+    before the ticker's next.
+    """
+    ends = dates.select("as_of", F.row_number().over(Window.orderBy("as_of")).alias("k"))
+    days = calendar.select("date").distinct().join(F.broadcast(ends), F.col("date") <= F.col("as_of")).groupBy("date").agg(F.min("k").alias("k"))
+    known = facts.where(F.col(value).isNotNull()).join(days, "date").groupBy("ticker", "k").agg(F.max_by(value, "date").alias(value))
+    after = F.lead("k").over(Window.partitionBy("ticker").orderBy("k"))
+    until = F.coalesce(after - 1, F.lit(ends.count()))
+    carried = known.withColumn("until", until).select("ticker", value, F.explode(F.sequence("k", "until")).alias("k"))
+    return carried.join(F.broadcast(ends), "k").select("as_of", "ticker", value)
 
 
 def run_backtest(returns: DataFrame, market: DataFrame, sectors: DataFrame, config: BacktestConfig | None = None, vol_forecasts: DataFrame | None = None) -> BacktestResult:
