@@ -95,11 +95,11 @@ def _xlogy(x: Column, y: Column) -> Column:
     return F.when(y > 0, x * F.ln(F.when(y > 0, y))).otherwise(0.0)
 
 
-def kupiec(n: Column, x: Column, p: float) -> Column:
+def kupiec(n: Column, x: Column, p: Column | float) -> Column:
     """Likelihood ratio of ``x`` breaches in ``n`` days against probability ``p``; NULL without days."""
-    n, x = n.cast("double"), x.cast("double")
+    n, x, p = n.cast("double"), x.cast("double"), F.lit(p)
     share = x / F.nullif(n, F.lit(0.0))
-    null = (n - x) * math.log(1 - p) + x * math.log(p)
+    null = (n - x) * F.ln(1 - p) + x * F.ln(p)
     alt = _xlogy(n - x, 1 - share) + _xlogy(x, share)
     return F.when(n > 0, -2 * (null - alt))
 
@@ -119,23 +119,34 @@ def independence(n00: Column, n01: Column, n10: Column, n11: Column) -> Column:
     return F.when(n00 + n01 + n10 + n11 == 0, None).when(flat, F.lit(0.0)).otherwise(F.greatest(F.lit(0.0), ratio))
 
 
+def _counts(b: str, prev: str) -> Column:
+    """Days, breaches and steps between the states of a flag and that of the day before."""
+    step = lambda i, j: F.count_if((F.col(prev) == i) & (F.col(b) == j))
+    return F.struct(F.count(b).alias("n_obs"), F.sum(b).alias("n_breaches"), *(step(i, j).alias(f"n{i}{j}") for i in (0, 1) for j in (0, 1)))
+
+
+def _coverage(c: Column, p: Column | float) -> list[Column]:
+    """The statistics of such counts against the probability ``p`` of a breach."""
+    n, x = c["n_obs"], c["n_breaches"]
+    return [
+        n.alias("n_obs"),
+        x.alias("n_breaches"),
+        (n * p).alias("expected"),
+        (x / F.nullif(n, F.lit(0))).alias("breach_rate"),
+        kupiec(n, x, p).alias("kupiec_lr"),
+        independence(*(c[f"n{i}{j}"] for i in (0, 1) for j in (0, 1))).alias("independence_lr"),
+    ]
+
+
+def _breached(var: Column) -> Column:
+    return (F.round("ret", 10) < F.round(-var, 10)).cast("int")
+
+
 def evaluate(rows: DataFrame, confidence: float) -> DataFrame:
     """Coverage statistics of forecasts (name, date, ret, var): counts, rate and likelihood ratios."""
     w = Window.partitionBy("name").orderBy("date")
-    b = rows.where("ret IS NOT NULL AND var IS NOT NULL").withColumn("b", (F.round("ret", 10) < F.round(-F.col("var"), 10)).cast("int"))
-    b = b.withColumn("prev", F.lag("b").over(w))
-    step = lambda i, j: F.count_if((F.col("prev") == i) & (F.col("b") == j))
-    counts = b.groupBy("name").agg(F.count("b").alias("n_obs"), F.sum("b").alias("n_breaches"), *(step(i, j).alias(f"n{i}{j}") for i in (0, 1) for j in (0, 1)))
-    p = 1 - confidence
-    return counts.select(
-        "name",
-        "n_obs",
-        "n_breaches",
-        (F.col("n_obs") * p).alias("expected"),
-        (F.col("n_breaches") / F.col("n_obs")).alias("breach_rate"),
-        kupiec(F.col("n_obs"), F.col("n_breaches"), p).alias("kupiec_lr"),
-        independence(*(F.col(f"n{i}{j}") for i in (0, 1) for j in (0, 1))).alias("independence_lr"),
-    )
+    b = rows.where("ret IS NOT NULL AND var IS NOT NULL").withColumn("b", _breached(F.col("var"))).withColumn("prev", F.lag("b").over(w))
+    return b.groupBy("name").agg(_counts("b", "prev").alias("c")).select("name", *_coverage(F.col("c"), 1 - confidence))
 
 
 def with_p_values(table: DataFrame, level: float = 0.05) -> DataFrame:
@@ -169,13 +180,25 @@ def rolling_forecasts(streams: DataFrame, window: int = TRADING_DAYS, confidence
 
 
 def backtest_table(streams: DataFrame, window: int = TRADING_DAYS, confidences: Sequence[float] = CONFIDENCES) -> DataFrame:
-    """Two methods at each confidence, evaluated: ``name, model`` and the statistics."""
-    out = None
-    for method in ("historical", "parametric"):
-        for c in confidences:
-            one = evaluate(rolling_forecasts(streams, window, c, method), c).withColumn("model", F.lit(f"{method} {label(c)}"))
-            out = one if out is None else out.unionByName(one)
-    return out
+    """Two methods at each confidence, evaluated: ``name, model`` and the statistics.
+
+    All forecasts come from one frame of one window and their flags from one order of the same rows, so a stream is
+    shuffled and sorted once.
+    """
+    order = Window.partitionBy("name").orderBy("date")
+    w = order.rowsBetween(-window, -1)
+    before = {"cuts": F.percentile("ret", F.array(*(F.lit(1 - c) for c in confidences))), "mean": F.avg("ret"), "sd": F.stddev_samp("ret")}
+    known = streams.where("ret IS NOT NULL").select("name", "date", "ret", F.row_number().over(order).alias("k"), *(x.over(w).alias(c) for c, x in before.items()))
+    known = known.where(F.col("k") > window)
+    var = {}
+    for i, c in enumerate(confidences):
+        var[f"historical {label(c)}"] = (c, -F.col("cuts")[i])
+        var[f"parametric {label(c)}"] = (c, -(F.col("mean") + F.lit(z_of(c)) * F.col("sd")))
+    flags = known.select("name", "date", *(_breached(x).alias(f"b{i}") for i, (_, x) in enumerate(var.values())))
+    flags = flags.select("*", *(F.lag(f"b{i}").over(order).alias(f"p{i}") for i in range(len(var))))
+    counts = flags.groupBy("name").agg(*(_counts(f"b{i}", f"p{i}").alias(f"c{i}") for i in range(len(var))))
+    each = F.inline(F.array(*(F.struct(F.lit(model).alias("model"), F.lit(1 - c).alias("p"), F.col(f"c{i}").alias("c")) for i, (model, (c, _)) in enumerate(var.items()))))
+    return counts.select("name", each).where("c.n_obs > 0").select("name", *_coverage(F.col("c"), F.col("p")), "model")
 
 
 def breach_series(streams: DataFrame, window: int = TRADING_DAYS, confidence: float = 0.95) -> DataFrame:
