@@ -41,6 +41,19 @@ def test_every_pair_within_the_word_distance_is_found(spark):
     assert kept_lines(spark, pairs) == expect
 
 
+def test_lines_whose_only_shared_block_is_crowded_are_linked(spark):
+    rng = random.Random(24)
+    more = fuzzy_lines.SMALL + 20
+    forms = [[f"chapter page {letters(rng, 9)} of it".split() for _ in range(more)]]  # one edit of five units apart: one block shared by all
+    phrase = [letters(rng, 8) for _ in range(3)]
+    alone = [[letters(rng, 8) for _ in range(17)] for _ in range(more)]
+    forms.append([phrase + x for x in alone])  # a phrase in lines that are otherwise unlike
+    last = [phrase + edited(rng, alone[7], 4)]
+    rows = [(k, " ".join(x)) for k, x in enumerate(forms[0] + forms[1] + last)]
+    left = {r["doc_id"] for r in fuzzy_lines.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect() if r["n_dropped"] == 0}
+    assert left == {0} | set(range(more, 2 * more))
+
+
 def test_short_words_scripts_without_blanks_and_very_long_lines(spark):
     rng = random.Random(22)
     short = [letters(rng, rng.randint(1, 4)) for _ in range(10)]
