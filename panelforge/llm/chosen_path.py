@@ -39,7 +39,7 @@ TREES, FIRST_TREES = 16, 4
 #: Below the similarity of a link, so that a linked pair's shared paths multiply.
 SPLIT = 0.6
 #: A tree node with more documents branches on.
-NODE = 100
+NODE = 300
 #: Similarities to a hub (estimated): of documents that leave its node, and of those that these can be linked to. Of the
 #: similarities' complements 1 - RIM is more than 1 - CORE and 1 - PERCENT / 100 together.
 CORE, RIM = 0.66, 0.38
@@ -200,13 +200,15 @@ def _node(batches: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     bits = np.frombuffer(b"".join(x for b in batches for x in b.column(4).to_pylist()), np.uint8).reshape(-1, BINS)
     names, size = np.unique(part, return_counts=True)
     few = np.flatnonzero(part != names[size.argmax()])
-    share = PERCENT / 100
+    share, filled = PERCENT / 100, (bits > 0).astype(np.float32)
+    # empty bins agree with nothing, as they are 0 on one side and 256 on the other
+    left, right = bits.astype(np.int16), bits.astype(np.int16)
+    right[right == 0] = 256
     for k in range(0, len(few), 64):
         i = few[k : k + 64]
-        x, y = bits[i, None, :], bits[None, :, :]
         good = (part[i, None] != part) & (np.minimum(n[i, None], n) * 100 >= np.maximum(n[i, None], n) * PERCENT)
-        same = ((x == y) & (x > 0)).sum(2)
-        either = ((x > 0) | (y > 0)).sum(2)
+        same = np.bitwise_count(np.packbits(left[i, None, :] == right[None, :, :], axis=2).view(np.uint64)).sum(2, dtype=np.int64)
+        either = (filled[i].sum(1)[:, None] + filled.sum(1) - filled[i] @ filled.T).astype(np.int64)
         good &= same >= either * share - SLACK * np.sqrt(either * share * (1 - share))
         at, other = np.nonzero(good)
         a, b = key[i][at], key[other]

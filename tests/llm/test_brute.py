@@ -9,7 +9,7 @@ from math import log
 
 import pytest
 
-from panelforge.llm import chosen_path, decontaminate, fuzzy_lines, langid, license_scan, quality_model, quality_rules
+from panelforge.llm import chosen_path, decontaminate, fuzzy_lines, graph, langid, license_scan, quality_model, quality_rules
 
 PHRASES = {"mit license": "mit", "apache license": "apache", "general public license": "gpl"}
 
@@ -219,3 +219,38 @@ def test_a_crowd_of_near_copies_matches_brute_force(spark):
     got = {r["doc_id"]: r["component_id"] for r in chosen_path.near_duplicates(docs, 4).collect()}
     assert links > 200 and len(expect) > 100
     assert got == smallest
+
+
+def test_components_of_few_links_match_and_need_no_exchange(spark, monkeypatch):
+    rng = random.Random(38)
+    links = [(k, k + 1) for k in range(40)] + [(rng.randrange(100, 300), rng.randrange(100, 300)) for _ in range(150)]
+    root = {x: x for link in links for x in link}
+    for _ in root:
+        for a, b in links:
+            root[a] = root[b] = min(root[a], root[b])
+    frame, stages = spark.createDataFrame(links, "a long, b long").repartition(3), []
+    for few in (graph.FEW, 0):
+        monkeypatch.setattr(graph, "FEW", few)
+        spark.sparkContext.setJobGroup(f"links {few}", "")
+        found = {tuple(r) for r in graph.components(frame).collect()}
+        assert found == {(x, r) for x, r in root.items() if x != r}
+        tracker = spark.sparkContext.statusTracker()
+        jobs = [tracker.getJobInfo(x) for x in tracker.getJobIdsForGroup(f"links {few}")]
+        stages.append(sum(len(x.stageIds) for x in jobs if x))
+    spark.sparkContext._jsc.clearJobGroup()
+    assert stages[0] * 2 < stages[1]
+
+
+def test_a_shared_passage_makes_no_deep_trees(spark, monkeypatch):
+    rng = random.Random(39)
+    passage = sentence(rng, 60)
+    docs = spark.createDataFrame([(k, f"{passage} {sentence(rng, 60)}") for k in range(200)], "doc_id long, text string")
+    made, branch = [], chosen_path._branch
+    monkeypatch.setattr(chosen_path, "_branch", lambda rows, trees=None: made.append(trees) or branch(rows, trees))
+    assert {r["component_id"] for r in chosen_path.near_duplicates(docs, 4).collect()} == set(range(200))
+    assert made.count(None) == 0
+
+
+def test_a_crowd_beyond_a_node_matches_brute_force(spark, monkeypatch):
+    monkeypatch.setattr(chosen_path, "NODE", 100)
+    test_a_crowd_of_near_copies_matches_brute_force(spark)
