@@ -3,7 +3,9 @@
 Both tokenizers split a text with a pattern before they merge, so the ids of a text are the ids of its chunks in order
 wherever a cut can't change how the pattern matches. ``ChunkEncoder`` cuts a batch of texts at blanks in Arrow, looks each
 distinct chunk up in a bounded cache, sends only chunks not seen yet to the tokenizers library, and gathers the ids with
-numpy. A text in which a cut could matter (see ``_UNSAFE_*``) goes to the library whole.
+numpy. A text in which a cut could matter (see ``_UNSAFE_*``) goes to the library whole. A new chunk of Latin letters and
+punctuation is cut further, into *pieces* that both patterns match apart (see ``_cut``), so that "word", "Word," and "word."
+share one; runs of letters go to the library's merges at once, as its normalizer and pattern don't change or cut them.
 """
 
 from __future__ import annotations
@@ -11,7 +13,7 @@ from __future__ import annotations
 import os
 import re
 import zlib
-from itertools import repeat
+from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -30,6 +32,15 @@ _UNSAFE_WORD = rf"[\x{{0}}{_ODD}]"
 #: The byte tokenizer keeps white space; a blank beside other white space is matched together with it.
 _UNSAFE_BYTE = rf"\x{{0}}| [ \t-\r{_ODD}]|[\t-\r{_ODD}] "
 
+#: Letters whose lower case, normal form and class are the same in all versions of Unicode, and marks that neither pattern
+#: takes together with letters, as it does an apostrophe.
+_LETTERS, _MARKS = "A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff", r"!-&(-/:-@\[-`{-~"
+_WORD, _PIECE = re.compile(f"\0?[{_LETTERS}]+"), re.compile(f"[{_LETTERS}]+|[{_MARKS}]+|\n")
+#: A chunk that ``_PIECE`` cuts: parts of letters and marks, with single line ends between them.
+_PLAIN = re.compile(f"\0?[{_LETTERS}{_MARKS}]+(?:\n[{_LETTERS}{_MARKS}]+)*")
+#: The characters that stand for the bytes above 127 of a letter in a byte-level vocabulary.
+_AS_BYTE = {b: 0x100 + k for k, b in enumerate([*range(0x21), *range(0x7F, 0xA1), 0xAD])}
+
 
 class ChunkEncoder:
     """Ids as unsigned 16-bit numbers (32-bit for vocabularies above 65,536 ids)."""
@@ -39,6 +50,7 @@ class ChunkEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.model = self.tokenizer.model
         #: Texts that hold an added token's string are encoded whole, as the library does by default.
         self.added = "|".join(re.escape(x.content) for x in self.tokenizer.get_added_tokens_decoder().values())
         self.vocab = self.tokenizer.get_vocab_size(with_added_tokens=True)
@@ -57,8 +69,60 @@ class ChunkEncoder:
     def _ids(self, texts: list[str]) -> list[list[int]]:
         return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
+    def _cut(self, key: str) -> list[str] | None:
+        """The keys whose ids, one after the other, are those of a chunk with others than letters; None if there are none.
+
+        Neither pattern matches letters together with marks or a line end, or two of these together, but for apostrophes; so
+        a plain chunk's ids are those of its runs. The word tokenizer takes letters in lower case.
+        """
+        if not _PLAIN.fullmatch(key):
+            return None
+        if not self.keeps_blanks:
+            runs = _PIECE.findall(key.lower())
+            return runs if len(runs) > 1 else None
+        runs = _PIECE.findall(key)
+        return [key[: key[0] == "\0"] + runs[0], *("\0" + x for x in runs[1:])] if len(runs) > 1 else None
+
     def _learn(self, keys: list[str]) -> None:
-        """Keys are chunks; for a tokenizer that keeps blanks, a chunk after its blank, or a text's first after NUL."""
+        """Keys are chunks; for a tokenizer that keeps blanks, a chunk after its blank, or a text's first or a piece after NUL."""
+        made, words, whole = {}, {}, {}
+        for x in keys:
+            if x.isalpha() and x.isascii() or _WORD.fullmatch(x):
+                if self.keeps_blanks or x.islower():
+                    words[x] = None
+                else:
+                    made[x] = [x.lower()]
+            elif runs := self._cut(x):
+                made[x] = runs
+            else:
+                whole[x] = None
+        pieces = list(chain.from_iterable(made.values()))
+        known = self.cache.get
+        for x in dict.fromkeys(pieces):
+            if (i := known(x, -1)) >= 0:
+                self.again[i] = True
+            else:
+                (words if x[-1].isalpha() else whole)[x] = None
+        self._learn_whole(list(whole))
+        ids = [[t.id for t in self.model.tokenize(x)] for x in map(self._spelled, words)]
+        self._store(list(words), np.fromiter(chain.from_iterable(ids), self.dtype), np.fromiter(map(len, ids), np.int64))
+        at = np.array([self.cache[x] for x in pieces], np.int64)
+        size = self.size[at]
+        upto = np.concatenate([[0], np.cumsum(size)])[np.cumsum([0, *(len(x) for x in made.values())])]
+        self._store(list(made), self._gathered(at, size), np.diff(upto))
+
+    def _spelled(self, word: str) -> str:
+        """A run of letters as the library hands it to its merges."""
+        if not word.isascii():
+            word = word.encode().decode("latin-1").translate(_AS_BYTE)
+        return word if not self.keeps_blanks else word[1:] if word[0] in "\0\u0100" else "\u0120" + word
+
+    def _gathered(self, at: np.ndarray, size: np.ndarray) -> np.ndarray:
+        """The ids of the keys at these places, one after the other."""
+        ends = np.cumsum(size)
+        return self.flat[np.repeat(self.start[at] - ends + size, size) + np.arange(ends[-1] if len(ends) else 0)]
+
+    def _learn_whole(self, keys: list[str]) -> None:
         if self.keeps_blanks:
             alone = [x for x in keys if not x.isprintable() or not x]
             together = [x for x in keys if x.isprintable() and x]
@@ -143,7 +207,7 @@ class ChunkEncoder:
         bounds = split.offsets.to_numpy().astype(np.int64)
         bounds -= bounds[0]
         coded = split.flatten().dictionary_encode()
-        names, codes = coded.dictionary.to_pylist(), coded.indices.to_numpy()
+        names, codes = coded.dictionary.to_numpy(zero_copy_only=False).tolist(), coded.indices.to_numpy()
         if self.keeps_blanks:
             at = self._find(names + ["\0" + names[i] for i in codes[bounds[:-1]]])
             where = at[codes]
@@ -151,9 +215,8 @@ class ChunkEncoder:
         else:
             where = self._find(names)[codes]
         size = self.size[where]
-        ends = np.cumsum(size)
-        ids = self.flat[np.repeat(self.start[where] - ends + size, size) + np.arange(ends[-1] if len(ends) else 0)]
-        ends = np.concatenate([[0], ends])[bounds]
+        ids = self._gathered(where, size)
+        ends = np.concatenate([[0], np.cumsum(size)])[bounds]
         sizes = np.diff(ends)
         if unsafe.any():
             pieces = [ids[a:b] for a, b in zip(ends[:-1], ends[1:], strict=True)]

@@ -165,6 +165,25 @@ def test_chunks_are_exact(name):
     for x, a, b in zip(odd, bounds, bounds[1:], strict=False):
         assert ids[a:b].tolist() == fresh.encode(x or "", add_special_tokens=False).ids
 
+@pytest.mark.parametrize("name", ["word_bpe_49k.json", "byte_bpe_50k.json"])
+def test_chunks_of_letters_and_marks_share_pieces(name):
+    from tokenizers import Tokenizer
+
+    e, plain = tokens.ChunkEncoder(tokens.public_path(name)), Tokenizer.from_file(tokens.public_path(name))
+    given: list[str] = []
+    e._learn_whole = lambda keys, whole=e._learn_whole: (given.extend(keys), whole(keys))[1]
+    signs = ["a", "ll", "Zo", "É", "ñß", "Ÿ", "ſ", "İ", "Σ", "́", "ª", "µ", "7", "'", "'s", "'", ".", "...", "--", "’", "×", "\n", "\n\n", "\t", " ", " ", " ", " '", "日本", "😀", " ", "|>"]
+    rng = random.Random(5)
+    texts = ["".join(rng.choice(signs) for _ in range(rng.randint(0, 40))) for _ in range(3000)]
+    texts += ["\n", "\nword", "word\n", "a\n\nb", "it's", "(word)", "WORD,***", "Ünder.\nÉtat,\nend.", "", "O'Neill's\nx"]
+    for k in range(0, len(texts), 500):
+        flat, at = e.encode(pa.array(texts[k : k + 500]))
+        for text, lo, hi in zip(texts[k : k + 500], at[:-1], at[1:], strict=True):
+            assert flat[lo:hi].tolist() == plain.encode(text, add_special_tokens=False).ids, text
+    given.clear()
+    e.encode(pa.array(["x blivet Blivet, blivet. (blivet)!! blivet\nblivet-blivet Größe, größe."]))
+    assert not [x for x in given if "bl" in x.lower() or "gr" in x.lower()]
+
 
 def test_packing_covers_every_id_once(spark, corpus):
     path = tokens.public_path("byte_bpe_50k.json")
