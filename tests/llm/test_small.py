@@ -88,6 +88,14 @@ def test_lines(spark):
     assert got[4][2] == 0 and got[5] == (None, 0, 0) and got[6] == ("", 0, 0)
 
 
+def test_blocks_hold_each_line_once(spark):
+    line, other = "one two three one two three four five six seven eight", "nil one two three one two three four five six nine"
+    docs = spark.createDataFrame([(k, line) for k in range(5)] + [(9, other)], "doc_id long, text string")
+    rows = fuzzy_lines._members(fuzzy_lines.distinct_lines(fuzzy_lines.occurrences(docs))).collect()
+    assert len({(r["block"], r["id"]) for r in rows}) == len(rows) > 8
+    assert all(r["members"] == 2 for r in rows) and {r["n"] for r in rows} == {1, 5}
+
+
 def test_sketches_are_the_parity_of_units(spark):
     rng = random.Random(8)
     line = words(rng, 30)
