@@ -7,6 +7,7 @@ import zlib
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from panelforge.llm import chosen_path, decontaminate, fuzzy_lines, langid, license_scan, packing, quality_model, quality_rules, token_store, tokens, warc_fixity
 
@@ -108,6 +109,24 @@ def test_sketches_are_the_parity_of_units(spark):
     assert fuzzy_lines.occurrences(docs).first()["sketch"] & (2**64 - 1) == sum(b << k for k, b in enumerate(bits))
 
 
+def test_short_lines_that_share_a_run_alone_are_no_candidates(spark):
+    rng = random.Random(31)
+    rows, near = [], []
+    for k, n in enumerate([8, 12, 20, 30, 40] * 6):
+        line = words(rng, n).split()
+        other = line[:3] + words(rng, n - 3).split()
+        near.append(k % 2)
+        if k % 2:  # at the limit: units replaced, inserted or left out
+            other = list(line)
+            for at in sorted(rng.sample(range(n), n // 5), reverse=True):
+                other[at : at + rng.randrange(2)] = words(rng, rng.randrange(2)).split()
+        rows += [(k, " ".join(line)), (-k - 1, " ".join(other))]
+    found = fuzzy_lines.occurrences(spark.createDataFrame(rows, "doc_id long, text string")).drop("blocks")
+    both = found.alias("x").join(found.alias("y"), F.expr("y.doc_id = -x.doc_id - 1 AND x.doc_id >= 0"))
+    got = both.select(F.col("x.doc_id").alias("k"), F.greatest("x.size", "y.size").alias("n"), fuzzy_lines._close("x", "y").alias("close")).collect()
+    assert len(got) == 30 and all(r["close"] == bool(near[r["k"]]) for r in got)
+
+
 def test_leaks(spark):
     rng = random.Random(11)
     items = [(k, words(rng, 40)) for k in range(5)] + [(9, ""), (8, None), (7, "short")]
