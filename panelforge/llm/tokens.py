@@ -3,9 +3,10 @@
 Both tokenizers split a text with a pattern before they merge, so the ids of a text are the ids of its chunks in order
 wherever a cut can't change how the pattern matches. ``ChunkEncoder`` cuts a batch of texts at blanks in Arrow, looks each
 distinct chunk up in a bounded cache, sends only chunks not seen yet to the tokenizers library, and gathers the ids with
-numpy. A text in which a cut could matter (see ``_UNSAFE_*``) goes to the library whole. A new chunk of Latin letters and
-punctuation is cut further, into *pieces* that both patterns match apart (see ``_cut``), so that "word", "Word," and "word."
-share one; runs of letters go to the library's merges at once, as its normalizer and pattern don't change or cut them.
+numpy. A text in which a cut could matter (see ``_UNSAFE_*``) goes to the library whole. A chunk of Latin letters and
+punctuation is cut further, into *pieces* that both patterns match apart, so that "word", "Word," and "word." share one: by
+the byte tokenizer before the look-up (see ``_pieces``), by the word tokenizer if it is new (see ``_cut``). Runs of letters go
+to the library's merges at once, as its normalizer and pattern don't change or cut them.
 """
 
 from __future__ import annotations
@@ -37,7 +38,10 @@ _UNSAFE_BYTE = rf"\x{{0}}| [ \t-\r{_ODD}]|[\t-\r{_ODD}] "
 _LETTERS, _MARKS = "A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff", r"!-&(-/:-@\[-`{-~"
 _WORD, _PIECE = re.compile(f"\0?[{_LETTERS}]+"), re.compile(f"[{_LETTERS}]+|[{_MARKS}]+|\n")
 #: A chunk that ``_PIECE`` cuts: parts of letters and marks, with single line ends between them.
-_PLAIN = re.compile(f"\0?[{_LETTERS}{_MARKS}]+(?:\n[{_LETTERS}{_MARKS}]+)*")
+_PLAIN = re.compile(f"[{_LETTERS}{_MARKS}]+(?:\n[{_LETTERS}{_MARKS}]+)*")
+#: Kinds of bytes: a blank, letters, marks, a line end, all others.
+_BLANK, _LETTER, _MARK, _END, _OTHER = range(5)
+_KINDS = np.array([_BLANK if c == " " else _END if c == "\n" else _LETTER if c.isascii() and c.isalpha() else _MARK if re.match(f"[{_MARKS}]", c) else _OTHER for c in map(chr, range(256))], np.uint8)
 #: The characters that stand for the bytes above 127 of a letter in a byte-level vocabulary.
 _AS_BYTE = {b: 0x100 + k for k, b in enumerate([*range(0x21), *range(0x7F, 0xA1), 0xAD])}
 
@@ -73,15 +77,13 @@ class ChunkEncoder:
         """The keys whose ids, one after the other, are those of a chunk with others than letters; None if there are none.
 
         Neither pattern matches letters together with marks or a line end, or two of these together, but for apostrophes; so
-        a plain chunk's ids are those of its runs. The word tokenizer takes letters in lower case.
+        a plain chunk's ids are those of its runs. The word tokenizer takes letters in lower case; for the byte tokenizer
+        ``_pieces`` has cut already.
         """
-        if not _PLAIN.fullmatch(key):
+        if self.keeps_blanks or not _PLAIN.fullmatch(key):
             return None
-        if not self.keeps_blanks:
-            runs = _PIECE.findall(key.lower())
-            return runs if len(runs) > 1 else None
-        runs = _PIECE.findall(key)
-        return [key[: key[0] == "\0"] + runs[0], *("\0" + x for x in runs[1:])] if len(runs) > 1 else None
+        runs = _PIECE.findall(key.lower())
+        return runs if len(runs) > 1 else None
 
     def _learn(self, keys: list[str]) -> None:
         """Keys are chunks; for a tokenizer that keeps blanks, a chunk after its blank, or a text's first or a piece after NUL."""
@@ -203,17 +205,17 @@ class ChunkEncoder:
         if unsafe.any():
             whole = [np.array(x, self.dtype) for x in self._ids(texts.filter(pa.array(unsafe)).to_pylist())]
             texts = pc.if_else(pa.array(unsafe), "", texts)
-        split = pc.split_pattern(texts, " ") if self.keeps_blanks else common.split_words(texts)
-        bounds = split.offsets.to_numpy().astype(np.int64)
-        bounds -= bounds[0]
-        coded = split.flatten().dictionary_encode()
-        names, codes = coded.dictionary.to_numpy(zero_copy_only=False).tolist(), coded.indices.to_numpy()
         if self.keeps_blanks:
-            at = self._find(names + ["\0" + names[i] for i in codes[bounds[:-1]]])
-            where = at[codes]
-            where[bounds[:-1]] = at[len(names) :]
+            pieces, bounds = _pieces(texts)
         else:
-            where = self._find(names)[codes]
+            split = common.split_words(texts)
+            pieces, bounds = split.flatten(), split.offsets.to_numpy().astype(np.int64)
+            bounds -= bounds[0]
+        coded = pieces.dictionary_encode()
+        names, codes = coded.dictionary.to_numpy(zero_copy_only=False).tolist(), coded.indices.to_numpy()
+        if self.keeps_blanks:
+            names = [x[1:] if x[0] == " " else "\0" + x for x in names]
+        where = self._find(names)[codes]
         size = self.size[where]
         ids = self._gathered(where, size)
         ends = np.concatenate([[0], np.cumsum(size)])[bounds]
@@ -226,6 +228,35 @@ class ChunkEncoder:
         return ids, sizes
 
 
+def _pieces(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """The chunks of texts (large strings without null) with the blank before them, those that ``_PLAIN`` matches cut as
+    ``_PIECE`` does, and where each text's begin and end among them."""
+    _, offsets, data = texts.buffers()
+    at = np.frombuffer(offsets, np.int64)[texts.offset : texts.offset + len(texts) + 1]
+    if data is None or at[0] == at[-1]:
+        return pa.array([], pa.large_string()), np.zeros(len(texts) + 1, np.int64)
+    raw, at = np.frombuffer(data, np.uint8)[at[0] : at[-1]], at - at[0]
+    kind = _KINDS[raw]
+    wide = np.flatnonzero(raw[:-1] == 0xC3)  # the two bytes of U+00C0 to U+00FF, of which two aren't letters
+    wide = wide[(raw[wide + 1] != 0x97) & (raw[wide + 1] != 0xB7)]
+    kind[wide] = kind[wide + 1] = _LETTER
+    first = np.zeros(len(raw) + 1, bool)
+    first[at] = True
+    first[:-1] |= kind == _BLANK
+    starts, first = np.flatnonzero(first[:-1]), first[:-1]
+    bare = (kind == _BLANK) | (kind == _END)  # beside which, or a text's border, a line end isn't single
+    before, after = np.ones(len(raw), bool), np.ones(len(raw), bool)
+    before[1:] = bare[:-1] | first[1:]
+    after[:-1] = bare[1:] | first[1:]
+    odd = (kind == _OTHER) | (kind == _END) & (before | after)
+    plain = np.repeat(~np.logical_or.reduceat(odd, starts), np.diff(starts, append=len(raw)))
+    first[1:] |= plain[1:] & (kind[1:] != kind[:-1]) & (kind[:-1] != _BLANK)
+    cuts = np.flatnonzero(first)
+    ends = np.append(cuts, len(raw))
+    pieces = pa.Array.from_buffers(pa.large_string(), len(cuts), [None, pa.py_buffer(ends), pa.py_buffer(raw)])
+    return pieces, np.searchsorted(ends, at)
+
+
 def binary_array(flat: np.ndarray, bounds: np.ndarray) -> pa.Array:
     """Slices of a numpy array as an Arrow binary column, without a copy for each row."""
     at = bounds.astype(np.int64) * flat.itemsize

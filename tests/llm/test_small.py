@@ -127,6 +127,21 @@ def test_short_lines_that_share_a_run_alone_are_no_candidates(spark):
     assert len(got) == 30 and all(r["close"] == bool(near[r["k"]]) for r in got)
 
 
+def test_pieces_of_a_text_have_the_library_s_ids_and_are_few():
+    from tokenizers import Tokenizer
+
+    rng = random.Random(4)
+    bits = ["word", "Word", "\u00c9", "\u00d7", "\u00f7", "\u4e2d", ",", "...", "'s", "\n", " ", "  ", "7", "\t", "\r\n", "-", "\u201c", "<|endoftext|>", "\u00a0", "na\u00efve", "\U0001f600", "\x7f", "\u0301"]
+    texts = ["".join(rng.choice(bits) for _ in range(rng.randrange(14))) for _ in range(5000)] + ["", " ", "\n"]
+    e, plain = tokens.ChunkEncoder(tokens.public_path("byte_bpe_50k.json")), Tokenizer.from_file(tokens.public_path("byte_bpe_50k.json"))
+    flat, bounds = e.encode(pa.array(["cut off", *texts, None]).slice(1))
+    for k, x in enumerate(plain.encode_batch_fast([*texts, ""], add_special_tokens=False)):
+        assert flat[bounds[k] : bounds[k + 1]].tolist() == x.ids, [*texts, ""][k]
+    e = tokens.ChunkEncoder(tokens.public_path("byte_bpe_50k.json"))
+    e.encode(pa.array([f" ({x}{y} {x}{z}" for x in ("one", "two", "three") for y in ",;:" for z in "!?."]))
+    assert len(e.cache) == 13  # three words with and without blank, a bracket, six marks
+
+
 def test_leaks(spark):
     rng = random.Random(11)
     items = [(k, words(rng, 40)) for k in range(5)] + [(9, ""), (8, None), (7, "short")]
