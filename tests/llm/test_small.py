@@ -127,6 +127,23 @@ def test_short_lines_that_share_a_run_alone_are_no_candidates(spark):
     assert len(got) == 30 and all(r["close"] == bool(near[r["k"]]) for r in got)
 
 
+def test_lines_that_share_a_run_by_chance_leave_the_first_shuffle_alone(spark):
+    """What a shuffle of blocks brings together but can't be linked isn't written, and goes through no other shuffle."""
+    rng = random.Random(33)
+    rows = []
+    for k in range(0, 60, 2):
+        line = words(rng, 30)
+        rows += [(k, line), (k + 1, " ".join(line.split()[:6] + words(rng, 24).split()))]
+    near = words(rng, 30)
+    docs = spark.createDataFrame([*rows, (100, near), (101, near.replace(near.split()[4], "other"))], "doc_id long, text string")
+    members = fuzzy_lines._members(fuzzy_lines.distinct_lines(fuzzy_lines.occurrences(docs)))
+    assert members.select("id").distinct().count() > 10
+    left = fuzzy_lines._candidates(members)
+    assert left.where("size(near) <> 1").count() == 0 and left.select("id").distinct().count() == 1
+    plan = members._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning(block") == plan.count("Exchange") - 1 == 1
+
+
 def test_pieces_of_a_text_have_the_library_s_ids_and_are_few():
     from tokenizers import Tokenizer
 
