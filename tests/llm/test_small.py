@@ -144,6 +144,39 @@ def test_lines_that_share_a_run_by_chance_leave_the_first_shuffle_alone(spark):
     assert plan.count("Exchange hashpartitioning(block") == plan.count("Exchange") - 1 == 1
 
 
+def test_lines_and_blocks_are_shuffled_in_parts(spark):
+    """Each part holds a share of the blocks, all parts together every block once; of the lines' parts likewise."""
+    rng = random.Random(34)
+    docs = spark.createDataFrame([(k, f"{line}\n{words(rng, 7)}\n{line}") for k in range(60) for line in [words(rng, 12)] * 2], "doc_id long, text string")
+    whole = fuzzy_lines.distinct_lines(fuzzy_lines.occurrences(docs))
+    places, parts = fuzzy_lines._named(fuzzy_lines.occurrences(docs))
+    assert places.count() == 360 and len(parts) == fuzzy_lines.PASSES > 1
+    assert sorted(r["id"] for part in parts for r in part.collect()) == sorted(r["id"] for r in whole.collect())
+    assert max(part.count() for part in parts) < whole.count() / 2
+    text = words(rng, 60).split()
+    docs = spark.createDataFrame([(k, " ".join([*text[:k], "other", *text[k:]])) for k in range(60)], "doc_id long, text string")
+    whole = fuzzy_lines.distinct_lines(fuzzy_lines.occurrences(docs))
+    keys = [[(r["block"], r["id"]) for r in fuzzy_lines._members(whole, k).collect()] for k in range(fuzzy_lines.PASSES)]
+    every = [(r["block"], r["id"]) for r in fuzzy_lines._members(whole).collect()]
+    assert sorted(x for part in keys for x in part) == sorted(every) and len(every) > 100
+    assert max(len({b for b, _ in part}) for part in keys) < len({b for b, _ in every})
+
+
+def test_crowded_blocks_are_not_cut_into_tasks_for_pairs_of_pieces(spark, monkeypatch):
+    """A skewed join would be: both sides of the comparison are dealt out before it, which such a join leaves alone."""
+    rng, plans, write = random.Random(35), {}, fuzzy_lines.common.written
+
+    def seen(df, name):
+        plans[name] = df._jdf.queryExecution().executedPlan().toString()
+        return write(df, name)
+
+    monkeypatch.setattr(fuzzy_lines.common, "written", seen)
+    rows = [(k, f"some common phrase {words(rng, 15)}") for k in range(fuzzy_lines.SMALL + 20)]
+    fuzzy_lines.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).count()
+    dealt = [x for x in plans["left"].splitlines() if "hashpartitioning(block" in x and "chunk" in x]
+    assert len(dealt) == 2 and all("REPARTITION_BY_COL" in x for x in dealt)
+
+
 def test_pieces_of_a_text_have_the_library_s_ids_and_are_few():
     from tokenizers import Tokenizer
 
