@@ -4,9 +4,9 @@ Both tokenizers split a text with a pattern before they merge, so the ids of a t
 wherever a cut can't change how the pattern matches. ``ChunkEncoder`` cuts a batch of texts at blanks in Arrow, looks each
 distinct chunk up in a bounded cache, sends only chunks not seen yet to the tokenizers library, and gathers the ids with
 numpy. A text in which a cut could matter (see ``_UNSAFE_*``) goes to the library whole. A chunk of Latin letters and
-punctuation is cut further, into *pieces* that both patterns match apart, so that "word", "Word," and "word." share one: by
-the byte tokenizer before the look-up (see ``_pieces``), by the word tokenizer if it is new (see ``_cut``). Runs of letters go
-to the library's merges at once, as its normalizer and pattern don't change or cut them.
+punctuation is cut further before the look-up, into *pieces* that both patterns match apart, so that "word", "Word," and
+"word." share one (see ``_pieces``, and ``_word_pieces`` for the word tokenizer). Runs of letters go to the library's merges at
+once, as its normalizer and pattern don't change or cut them.
 """
 
 from __future__ import annotations
@@ -14,7 +14,7 @@ from __future__ import annotations
 import os
 import re
 import zlib
-from itertools import chain, repeat
+from itertools import chain, compress, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -36,9 +36,7 @@ _UNSAFE_BYTE = rf"\x{{0}}| [ \t-\r{_ODD}]|[\t-\r{_ODD}] "
 #: Letters whose lower case, normal form and class are the same in all versions of Unicode, and marks that neither pattern
 #: takes together with letters, as it does an apostrophe.
 _LETTERS, _MARKS = "A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff", r"!-&(-/:-@\[-`{-~"
-_WORD, _PIECE = re.compile(f"\0?[{_LETTERS}]+"), re.compile(f"[{_LETTERS}]+|[{_MARKS}]+|\n")
-#: A chunk that ``_PIECE`` cuts: parts of letters and marks, with single line ends between them.
-_PLAIN = re.compile(f"[{_LETTERS}{_MARKS}]+(?:\n[{_LETTERS}{_MARKS}]+)*")
+_WORD = re.compile(f"\0?[{_LETTERS}]+")
 #: Kinds of bytes: a blank, letters, marks, a line end, all others.
 _BLANK, _LETTER, _MARK, _END, _OTHER = range(5)
 _KINDS = np.array([_BLANK if c == " " else _END if c == "\n" else _LETTER if c.isascii() and c.isalpha() else _MARK if re.match(f"[{_MARKS}]", c) else _OTHER for c in map(chr, range(256))], np.uint8)
@@ -73,45 +71,14 @@ class ChunkEncoder:
     def _ids(self, texts: list[str]) -> list[list[int]]:
         return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _cut(self, key: str) -> list[str] | None:
-        """The keys whose ids, one after the other, are those of a chunk with others than letters; None if there are none.
-
-        Neither pattern matches letters together with marks or a line end, or two of these together, but for apostrophes; so
-        a plain chunk's ids are those of its runs. The word tokenizer takes letters in lower case; for the byte tokenizer
-        ``_pieces`` has cut already.
-        """
-        if self.keeps_blanks or not _PLAIN.fullmatch(key):
-            return None
-        runs = _PIECE.findall(key.lower())
-        return runs if len(runs) > 1 else None
-
     def _learn(self, keys: list[str]) -> None:
-        """Keys are chunks; for a tokenizer that keeps blanks, a chunk after its blank, or a text's first or a piece after NUL."""
-        made, words, whole = {}, {}, {}
-        for x in keys:
-            if x.isalpha() and x.isascii() or _WORD.fullmatch(x):
-                if self.keeps_blanks or x.islower():
-                    words[x] = None
-                else:
-                    made[x] = [x.lower()]
-            elif runs := self._cut(x):
-                made[x] = runs
-            else:
-                whole[x] = None
-        pieces = list(chain.from_iterable(made.values()))
-        known = self.cache.get
-        for x in dict.fromkeys(pieces):
-            if (i := known(x, -1)) >= 0:
-                self.again[i] = True
-            else:
-                (words if x[-1].isalpha() else whole)[x] = None
-        self._learn_whole(list(whole))
-        ids = [[t.id for t in self.model.tokenize(x)] for x in map(self._spelled, words)]
-        self._store(list(words), np.fromiter(chain.from_iterable(ids), self.dtype), np.fromiter(map(len, ids), np.int64))
-        at = np.array([self.cache[x] for x in pieces], np.int64)
-        size = self.size[at]
-        upto = np.concatenate([[0], np.cumsum(size)])[np.cumsum([0, *(len(x) for x in made.values())])]
-        self._store(list(made), self._gathered(at, size), np.diff(upto))
+        """Keys are chunks or pieces; for a tokenizer that keeps blanks, one after its blank, or a text's first or a piece after NUL."""
+        letters = [x.isascii() and x.isalpha() or _WORD.fullmatch(x) is not None for x in keys]
+        words = list(compress(keys, letters))
+        self._learn_whole([x for x, is_word in zip(keys, letters, strict=True) if not is_word])
+        tokenize = self.model.tokenize
+        ids = [[t.id for t in tokenize(x if x.isascii() and not self.keeps_blanks else self._spelled(x))] for x in words]
+        self._store(words, np.fromiter(chain.from_iterable(ids), self.dtype), np.fromiter(map(len, ids), np.int64))
 
     def _spelled(self, word: str) -> str:
         """A run of letters as the library hands it to its merges."""
@@ -162,16 +129,17 @@ class ChunkEncoder:
         self.used += len(ids)
 
     def _find(self, keys: list[str]) -> np.ndarray:
-        at = np.array(list(map(self.cache.get, keys, repeat(-1))), np.int64)
+        at = np.fromiter(map(self.cache.get, keys, repeat(-1)), np.int64, len(keys))
         missing = np.flatnonzero(at < 0)
         if len(missing):
-            new = list(dict.fromkeys([keys[i] for i in missing]))
+            wanted = list(compress(keys, (at < 0).tolist()))
+            new = list(dict.fromkeys(wanted))
             if len(self.cache) + len(new) > CACHE_CHUNKS and self.cache:
                 self._shrink()
                 return self._find(keys)
             self._learn(new)
             self.again[at[at >= 0]] = True
-            at[missing] = [self.cache[keys[i]] for i in missing]
+            at[missing] = np.fromiter(map(self.cache.__getitem__, wanted), np.int64, len(missing))
         return at
 
     def _shrink(self) -> None:
@@ -208,9 +176,7 @@ class ChunkEncoder:
         if self.keeps_blanks:
             pieces, bounds = _pieces(texts)
         else:
-            split = common.split_words(texts)
-            pieces, bounds = split.flatten(), split.offsets.to_numpy().astype(np.int64)
-            bounds -= bounds[0]
+            pieces, bounds = _word_pieces(texts)
         coded = pieces.dictionary_encode()
         names, codes = coded.dictionary.to_numpy(zero_copy_only=False).tolist(), coded.indices.to_numpy()
         if self.keeps_blanks:
@@ -229,17 +195,14 @@ class ChunkEncoder:
 
 
 def _pieces(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
-    """The chunks of texts (large strings without null) with the blank before them, those that ``_PLAIN`` matches cut as
-    ``_PIECE`` does, and where each text's begin and end among them."""
+    """The chunks of texts (large strings without null) with the blank before them, and where each text's begin and end among
+    them. Chunks of letters, marks and single line ends between these are cut into runs of each kind."""
     _, offsets, data = texts.buffers()
     at = np.frombuffer(offsets, np.int64)[texts.offset : texts.offset + len(texts) + 1]
     if data is None or at[0] == at[-1]:
         return pa.array([], pa.large_string()), np.zeros(len(texts) + 1, np.int64)
     raw, at = np.frombuffer(data, np.uint8)[at[0] : at[-1]], at - at[0]
-    kind = _KINDS[raw]
-    wide = np.flatnonzero(raw[:-1] == 0xC3)  # the two bytes of U+00C0 to U+00FF, of which two aren't letters
-    wide = wide[(raw[wide + 1] != 0x97) & (raw[wide + 1] != 0xB7)]
-    kind[wide] = kind[wide + 1] = _LETTER
+    kind, _ = _kinds(raw)
     first = np.zeros(len(raw) + 1, bool)
     first[at] = True
     first[:-1] |= kind == _BLANK
@@ -257,6 +220,40 @@ def _pieces(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
     return pieces, np.searchsorted(ends, at)
 
 
+def _kinds(raw: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The kind of each byte, and where the letters U+00C0 to U+00FF begin, which have two."""
+    kind = _KINDS[raw]
+    wide = np.flatnonzero(raw[:-1] == 0xC3)
+    wide = wide[(raw[wide + 1] != 0x97) & (raw[wide + 1] != 0xB7)]
+    kind[wide] = kind[wide + 1] = _LETTER
+    return kind, wide
+
+
+def _word_pieces(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """As ``_pieces``, without white space, for a tokenizer that drops it and takes letters in lower case: so those of chunks
+    that are cut are turned to it first."""
+    _, offsets, data = texts.buffers()
+    at = np.frombuffer(offsets, np.int64)[texts.offset : texts.offset + len(texts) + 1]
+    raw, at = (np.frombuffer(data, np.uint8)[at[0] : at[-1]] if data is not None else np.zeros(0, np.uint8)), at - at[0]
+    keep = (raw != 32) & ((raw - np.uint8(9)) > 4)
+    first = np.zeros(len(raw) + 1, bool)
+    first[at] = True
+    first[1:] |= ~keep
+    raw, first, at = raw[keep], first[:-1][keep], np.concatenate([[0], np.cumsum(keep)])[at]
+    if not len(raw):
+        return pa.array([], pa.large_string()), np.zeros(len(texts) + 1, np.int64)
+    kind, wide = _kinds(raw)
+    starts = np.flatnonzero(first)
+    plain = np.repeat(~np.logical_or.reduceat(kind == _OTHER, starts), np.diff(starts, append=len(raw)))
+    raw[plain & ((raw - np.uint8(65)) < 26)] += 32
+    last = wide[plain[wide] & (raw[wide + 1] < 0x9F)] + 1
+    raw[last] += 32
+    first[1:] |= plain[1:] & (kind[1:] != kind[:-1])
+    cuts = np.flatnonzero(first)
+    ends = np.append(cuts, len(raw))
+    return pa.Array.from_buffers(pa.large_string(), len(cuts), [None, pa.py_buffer(ends), pa.py_buffer(raw)]), np.searchsorted(ends, at)
+
+
 def binary_array(flat: np.ndarray, bounds: np.ndarray) -> pa.Array:
     """Slices of a numpy array as an Arrow binary column, without a copy for each row."""
     at = bounds.astype(np.int64) * flat.itemsize

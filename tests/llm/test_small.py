@@ -277,6 +277,18 @@ def test_chunks_of_letters_and_marks_share_pieces(name):
     assert not [x for x in given if "bl" in x.lower() or "gr" in x.lower()]
 
 
+def test_word_chunks_are_cut_before_the_look_up():
+    from tokenizers import Tokenizer
+
+    path = tokens.public_path("word_bpe_49k.json")
+    e, plain = tokens.ChunkEncoder(path), Tokenizer.from_file(path)
+    texts = [" Blivet,\tblivet.\x0b\r\n(BLIVET)  ", "", " \n", "GRÖSSE Größe, b×X it's ÞÀ", None, "blivet"]
+    whole = pa.array(["cut off", *texts, "cut off"])
+    flat, at = e.encode(whole.slice(1, len(texts)))
+    assert [flat[lo:hi].tolist() for lo, hi in zip(at[:-1], at[1:], strict=True)] == [plain.encode(x or "", add_special_tokens=False).ids for x in texts]
+    assert set(e.cache) == {"blivet", ",", ".", "(", ")", "grösse", "größe", "b×X", "it's", "þà"}
+
+
 def test_packing_covers_every_id_once(spark, corpus):
     path = tokens.public_path("byte_bpe_50k.json")
     e = tokens.encoder(path)
