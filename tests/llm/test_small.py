@@ -177,6 +177,26 @@ def test_crowded_blocks_are_not_cut_into_tasks_for_pairs_of_pieces(spark, monkey
     assert len(dealt) == 2 and all("REPARTITION_BY_COL" in x for x in dealt)
 
 
+def test_counts_of_units_rule_out_no_link(spark):
+    rng, rows = random.Random(8), []
+    for n in (5, 10, 40, 200):
+        for _ in range(20):
+            x = [chr(0x10000 + rng.randrange(1 << 20)) for _ in range(n)]
+            y = list(x)
+            for _ in range(n * fuzzy_lines.EDIT_PERCENT // 100):
+                at, how = rng.randrange(len(y)), rng.randrange(3)
+                y[at : at + (how < 2)] = [chr(0x10000 + rng.randrange(1 << 20))] * (how != 1)
+            rows.append(("".join(x), "".join(y)))
+    phrase = [[chr(0x10000 + rng.randrange(1 << 20)) for _ in range(8)] for _ in range(2)]
+    both = spark.createDataFrame([*rows, tuple("".join(p) * 30 for p in phrase)], "a string, b string")
+    side = lambda c: F.struct(F.length(c).alias("size"), F.col(c).alias("code"), fuzzy_lines._counts(F.col(c)).alias("counts"))
+    sides = both.select(side("a").alias("x"), side("b").alias("y"))
+    got = sides.select(fuzzy_lines._near("x", "y", "code").alias("near"), fuzzy_lines._balanced("x", "y").alias("left"), F.expr("array(x.counts.*)").alias("c"), "x.size").collect()
+    assert all(r["left"] for r in got if r["near"]) and sum(r["near"] for r in got) >= 60
+    assert all(sum(r["c"]) == r["size"] for r in got)
+    assert not got[-1]["near"] and not got[-1]["left"]
+
+
 def test_pieces_of_a_text_have_the_library_s_ids_and_are_few():
     from tokenizers import Tokenizer
 
