@@ -197,6 +197,40 @@ def test_counts_of_units_rule_out_no_link(spark):
     assert not got[-1]["near"] and not got[-1]["left"]
 
 
+def test_crowded_lines_are_compared_in_brief(spark, monkeypatch):
+    """One byte a unit is dealt out for the comparison of crowded blocks, and no line goes through a shuffle as it is spelled."""
+    rng, plans, write = random.Random(36), {}, fuzzy_lines.common.written
+
+    def seen(df, name):
+        plans.setdefault(name, []).append(df._jdf.queryExecution().executedPlan().toString())
+        return write(df, name)
+
+    monkeypatch.setattr(fuzzy_lines.common, "written", seen)
+    rows = [(k, f"some common phrase {words(rng, 15)}") for k in range(fuzzy_lines.SMALL + 20)]
+    last = rows[-1][1].split()
+    rows.append((999, " ".join([*last[:9], "other", *last[10:]])))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r["doc_id"]: r["n_dropped"] for r in fuzzy_lines.dedup_lines(docs).collect()}
+    assert {d for d, n in got.items() if n} == {999}
+    assert len(plans["texts"]) == 1 and "Aggregate" not in plans["texts"][0]
+    assert "brief" in plans["left"][0] and not re.search(r"\bcode2?#", plans["left"][0])
+
+
+def test_lines_in_brief_are_near_if_they_are_as_spelled(spark):
+    line = spark.createDataFrame([(words(random.Random(37), 60),)], "line string").select(fuzzy_lines._hashes(fuzzy_lines._units(F.col("line"))).alias("u"))
+    u = F.col("u")
+    r = line.select(fuzzy_lines._spelled(u, 1).alias("code"), fuzzy_lines._spelled(u, 27).alias("code2"), fuzzy_lines._brief(u).alias("brief")).first()
+    assert r["brief"] == "".join(chr(ord(c) & 63 | 64) for c in r["code"]) and len(r["code"]) == len(r["code2"]) == 60
+    assert len(set(r["code"])) == len(set(r["code2"])) > 55 and set(map(ord, r["code"])) != set(map(ord, r["code2"]))
+
+
+def test_a_repeated_row_s_lines_are_read_once(spark):
+    line = words(random.Random(38), 20)
+    docs = spark.createDataFrame([(1, line)] * 3 + [(2, f"{line} more")], "doc_id long, text string")
+    lines = fuzzy_lines.distinct_lines(fuzzy_lines.occurrences(docs))
+    assert fuzzy_lines._texts(lines.select("id"), lines, docs).count() == 2
+
+
 def test_pieces_of_a_text_have_the_library_s_ids_and_are_few():
     from tokenizers import Tokenizer
 
