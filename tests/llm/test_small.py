@@ -224,6 +224,18 @@ def test_lines_in_brief_are_near_if_they_are_as_spelled(spark):
     assert len(set(r["code"])) == len(set(r["code2"])) > 55 and set(map(ord, r["code"])) != set(map(ord, r["code2"]))
 
 
+def test_pairs_of_crowded_blocks_meet_their_lines_once(spark, monkeypatch):
+    line, names, write = words(random.Random(39), 20), [], fuzzy_lines.common.written
+    monkeypatch.setattr(fuzzy_lines, "_small", lambda rows: False)
+    monkeypatch.setattr(fuzzy_lines.common, "written", lambda df, name: names.append(name) or write(df, name))
+    u = fuzzy_lines._hashes(fuzzy_lines._units(F.col("line")))
+    lines = spark.createDataFrame([(1, line), (2, f"{line} more"), (3, words(random.Random(40), 20))], "id long, line string").withColumn("u", u)
+    texts = lines.select("id", fuzzy_lines._spelled(F.col("u"), 1).alias("code"), fuzzy_lines._spelled(F.col("u"), 27).alias("code2"))
+    pairs = spark.createDataFrame([(1, 2), (1, 3)], "a long, b long")
+    got = fuzzy_lines._verified(pairs, texts, once=True).collect()
+    assert [tuple(r) for r in got] == [(1, 2)] and names == ["alike"]
+
+
 def test_a_repeated_row_s_lines_are_read_once(spark):
     line = words(random.Random(38), 20)
     docs = spark.createDataFrame([(1, line)] * 3 + [(2, f"{line} more")], "doc_id long, text string")
