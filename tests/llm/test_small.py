@@ -3,13 +3,15 @@
 import random
 import re
 import zlib
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from panelforge.llm import chosen_path, decontaminate, fuzzy_lines, langid, license_scan, packing, quality_model, quality_rules, token_store, tokens, warc_fixity
+from panelforge.llm import chosen_path, decontaminate, fuzzy_lines, graph, langid, license_scan, packing, quality_model, quality_rules, token_store, tokens, warc_fixity
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, key int, n int"
 
@@ -236,6 +238,47 @@ def test_pairs_of_crowded_blocks_meet_their_lines_once(spark, monkeypatch):
     assert [tuple(r) for r in got] == [(1, 2)] and names == ["alike"]
 
 
+def test_pairs_of_lines_in_one_group_are_not_all_verified(spark, monkeypatch):
+    """Of near copies few pairs are verified, in small blocks as in crowded ones; links between groups are still found."""
+    rng, seen, verified = random.Random(41), [], fuzzy_lines._verified
+    monkeypatch.setattr(fuzzy_lines, "_verified", lambda pairs, *a, **b: seen.append(pairs.count()) or verified(pairs, *a, **b))
+    line = words(rng, 30).split()
+    chain = [[*(f"new{j}" for j in range(4 * k)), *line[4 * k :]] for k in range(4)]  # each within the distance of the next alone
+    rows = [(k, " ".join([*line[:5], f"other{k}", *line[6:]])) for k in range(40)] + [(100 + k, " ".join(x)) for k, x in enumerate(chain)]
+    got = fuzzy_lines.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {r["doc_id"] for r in got if r["n_dropped"] == 0} == {0}
+    assert 43 <= sum(seen) < 250  # of 946 pairs
+
+
+def test_links_of_pairs_make_the_groups_of_all_verified_pairs(spark):
+    rng, u = random.Random(42), fuzzy_lines._hashes(fuzzy_lines._units(F.col("line")))
+    line = words(rng, 20).split()
+    rows = [(k, " ".join([*line[:k], f"x{k}", *line[k + 1 :]])) for k in range(12)] + [(20 + k, words(rng, 20)) for k in range(3)]
+    rows.append((30, " ".join([*rows[11][1].split()[:15], *words(rng, 4).split(), line[19]])))  # linked with line 11 alone, not with the smallest
+    lines = spark.createDataFrame(rows, "id long, line string").withColumn("u", u)
+    texts = lines.select("id", fuzzy_lines._spelled(F.col("u"), 1).alias("code"), fuzzy_lines._spelled(F.col("u"), 27).alias("code2"))
+    ids = [k for k, _ in rows]
+    pairs = spark.createDataFrame([(a, b) for a in ids for b in ids if a < b], "a long, b long")
+    groups = lambda frames: sorted(tuple(r) for r in graph.components(reduce(DataFrame.unionByName, frames)).collect())
+    expect = groups([fuzzy_lines._verified(pairs, texts)])
+    assert groups(fuzzy_lines._links(pairs, texts)) == groups(fuzzy_lines._links(pairs, texts, once=True)) == expect and len(expect) >= 11
+
+
+def test_texts_of_other_lines_stay_out_of_the_shuffle_of_pairs(spark, monkeypatch):
+    plans, write, u = [], fuzzy_lines.common.written, fuzzy_lines._hashes(fuzzy_lines._units(F.col("line")))
+    monkeypatch.setattr(fuzzy_lines, "_small", lambda rows: False)
+    monkeypatch.setattr(fuzzy_lines.common, "written", lambda df, name: plans.append(df._jdf.queryExecution().executedPlan().toString()) or write(df, name))
+    line = words(random.Random(43), 20)
+    lines = spark.createDataFrame([(1, line), (2, f"{line} more"), (3, line)], "id long, line string").withColumn("u", u)
+    texts = lines.select("id", fuzzy_lines._spelled(F.col("u"), 1).alias("code"), fuzzy_lines._spelled(F.col("u"), 27).alias("code2"))
+    pairs = spark.createDataFrame([(1, 2)], "a long, b long")
+    assert [tuple(r) for r in fuzzy_lines._verified(pairs, texts).collect()] == [(1, 2)]
+    assert all(plan.count("LeftSemi, BuildRight") == 2 for plan in plans) and len(plans) == 2
+    monkeypatch.setattr(fuzzy_lines, "BROADCAST_BYTES", 0)
+    assert [tuple(r) for r in fuzzy_lines._verified(pairs, texts).collect()] == [(1, 2)]
+    assert not any("LeftSemi" in plan for plan in plans[2:]) and len(plans) == 4
+
+
 def test_a_repeated_row_s_lines_are_read_once(spark):
     line = words(random.Random(38), 20)
     docs = spark.createDataFrame([(1, line)] * 3 + [(2, f"{line} more")], "doc_id long, text string")
